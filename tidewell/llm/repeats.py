@@ -1,0 +1,98 @@
+"""A fixed-size sketch of which hashes occur about once, a few times or often in a corpus.
+
+It orders or prefilters hashes; it never decides a result. A hash that occurs twice is always seen as repeated;
+slots that hashes share can only make a rare one look frequent, which costs work and loses nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import Iterator, Tuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import kernels as K
+
+SEGMENTS = 64
+#: Slots of the sketch: 2 bits each are sent to the workers, 64 MB whatever the corpus.
+SLOT_BITS = 28
+GATHER = 3_000_000
+OFTEN = 12
+Hashes = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _gaps(slots: np.ndarray) -> bytes:
+    """Ascending slots as gaps of one byte; 255 carries on."""
+    gap = np.diff(slots.astype(np.int64), prepend=-1) - 1
+    size = gap // 255 + 1
+    out = np.full(int(size.sum()), 255, np.uint8)
+    out[np.cumsum(size) - 1] = gap % 255
+    return out.tobytes()
+
+
+def _slots(b: bytes) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8).astype(np.int64)
+    total = np.cumsum(x)
+    ends = np.flatnonzero(x != 255)
+    return total[ends] + np.arange(len(ends))
+
+
+def build(docs: DataFrame, hashes: Hashes, slot_bits: int = SLOT_BITS) -> bytes:
+    """The classes of all slots, 2 bits each: 0 at most once, 1 repeated, 2 often. Its size doesn't depend on the corpus."""
+    per = 1 << max(3, slot_bits - SEGMENTS.bit_length() + 1)
+
+    def flush(parts: list[np.ndarray]) -> Iterator[tuple[int, bytes, bytes]]:
+        s = np.sort(np.concatenate(parts))
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        first = np.flatnonzero(new)
+        n = np.diff(first, append=len(s))
+        s = s[first]
+        at = np.searchsorted(s, np.arange(SEGMENTS + 1, dtype=np.int64) * per)
+        for i in range(SEGMENTS):
+            x, c = s[at[i] : at[i + 1]] - i * per, n[at[i] : at[i + 1]]
+            if len(x):
+                yield i, _gaps(x), _gaps(x[c > 1])
+
+    def scatter(batches):
+        parts, size = [], 0
+        for batch in batches:
+            for _, _, buf, offs in K.slices(batch.column(0)):
+                h = hashes(buf, offs)
+                parts.append((h >> np.uint64(64 - slot_bits)).astype(np.int64))
+                size += len(h)
+                if size >= GATHER:
+                    yield _rows(flush(parts))
+                    parts, size = [], 0
+        if size:
+            yield _rows(flush(parts))
+
+    def _rows(rows):
+        seg, once, more = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["segment", "seen", "again"])
+
+    def gather(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(per, np.uint8)
+        for batch in batches:
+            for seen, again in zip(batch.column("seen"), batch.column("again"), strict=True):
+                for blob in (seen.as_py(), again.as_py()):
+                    at = _slots(blob)
+                    count[at] = np.minimum(count[at], 250) + 1
+        cls = (count >= 2).astype(np.uint8) + (count >= OFTEN)
+        packed = cls[0::4] | cls[1::4] << 2 | cls[2::4] << 4 | cls[3::4] << 6
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["segment", "classes"])
+
+    rows = docs.select("text").mapInArrow(scatter, "segment int, seen binary, again binary").groupBy("segment").applyInArrow(gather, "segment int, classes binary").collect()
+    out = bytearray(SEGMENTS * per // 4)
+    for r in rows:
+        out[r.segment * per // 4 : (r.segment + 1) * per // 4] = r.classes
+    return bytes(out)
+
+
+def classes(sketch: bytes, h: np.ndarray, slot_bits: int = SLOT_BITS) -> np.ndarray:
+    slot = h >> np.uint64(64 - slot_bits)
+    packed = np.frombuffer(sketch, np.uint8)[(slot >> np.uint64(2)).astype(np.int64)]
+    return (packed >> ((slot & np.uint64(3)).astype(np.uint8) * 2)) & 3
