@@ -158,5 +158,16 @@ def unpack(b: bytes, kind) -> np.ndarray:
 def by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
     """(bucket, its part of each array), the bucket numbers ascending in the input."""
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(at, [*at[1:], len(bucket)], strict=True):
+    for a, b in zip(at, np.append(at[1:], len(bucket)), strict=False):
         yield int(bucket[a]), *(x[a:b] for x in arrays)
+
+
+def rolling(x: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """64-bit hash of every k neighbours of x, from running sums."""
+    m = len(x) - k + 1
+    if m <= 0:
+        return np.zeros(0, U)
+    power, inverse = _power_tables(len(x) + 1)
+    c = np.zeros(len(x) + 1, U)
+    np.cumsum(mix(x.astype(U) ^ U(salt)) * power[: len(x)], out=c[1:])
+    return mix((c[k:] - c[:-k]) * inverse[:m])
