@@ -133,8 +133,8 @@ def _digest(batch: pa.RecordBatch, w: K.Words, hit: np.ndarray, items: list[set]
         n_hit, own = int(h.sum()), sorted(items[row])
         edges = np.flatnonzero(np.diff(np.concatenate([[0], h, [0]])))
         runs = edges[1::2] - edges[::2]
-        at = int(runs.argmax()) if len(runs) else None
-        rows.append((len(h), n_hit, len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= len(h), 0 if at is None else int(runs[at]), None if at is None else int(edges[2 * at])))
+        at = int(runs.argmax()) if len(runs) else -1
+        rows.append((len(h), n_hit, len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= len(h), int(runs[at]) if at >= 0 else 0, int(edges[2 * at]) if at >= 0 else -1))
     names = [x.split()[0] for x in _DIGEST.split(", ")]
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES[1:], strict=True))], names=names)
 
@@ -178,7 +178,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the longest stretch of hit words, per row of docs."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the longest stretch of hit words (start -1: none), per row of docs."""
     return _passes(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window, block_bytes, _digest, _DIGEST)
 
 

@@ -133,13 +133,13 @@ places AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
 ), found AS (SELECT p.doc_id, p.i, p.n, k.item_id FROM places p JOIN keys k ON p.n = k.n AND p.x = k.x),
 hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM found, range(0, 13) t(k) WHERE k < n GROUP BY doc_id),
-marks AS (SELECT DISTINCT doc_id, i + k AS at FROM found, range(0, 13) t(k) WHERE k < n),
+marks AS (SELECT DISTINCT doc_id, i + k AS pos FROM found, range(0, 13) t(k) WHERE k < n),
 runs AS (
-  SELECT doc_id, min(at) AS first, count(*) AS size FROM (SELECT doc_id, at, at - row_number() OVER (PARTITION BY doc_id ORDER BY at) AS g FROM marks) GROUP BY doc_id, g
+  SELECT doc_id, min(pos) AS first, count(*) AS size FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM marks) GROUP BY doc_id, g
 ), longest AS (SELECT doc_id, max(size) AS longest_words, arg_min(first - 1, struct_pack(a := -size, b := first)) AS longest_start FROM runs GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest_words, 0) AS longest_words, longest_start
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest_words, 0) AS longest_words, coalesce(longest_start, -1) AS longest_start
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 

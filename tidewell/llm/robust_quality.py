@@ -39,8 +39,12 @@ _SPACE = " \t\n\x0b\f\r"
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of docs.text."""
+def base_statistics(docs: DataFrame, *keep: str, fence: bool = False) -> DataFrame:
+    """keep columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of docs.text.
+
+    fence adds a column __fence: a filter that uses it stays above the statistics, where the optimizer would else copy
+    their expressions into the filter, once for each use.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(_SPACE))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
@@ -63,7 +67,8 @@ def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     rows = rows.select(*keep, *_BASE[:4], F.array_sort(F.transform(same, lambda e: e["i"])).alias("__p"))
     start = F.struct(F.lit(0).alias("n"), F.lit(-5).alias("at"))
     covered = F.aggregate("__p", start, lambda a, p: F.struct((a["n"] + F.least(F.lit(5), p - a["at"])).alias("n"), p.alias("at")), lambda a: a["n"])
-    return rows.select(*keep, *_BASE[:4], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    more = [F.monotonically_increasing_id().alias("__fence")] if fence else []
+    return rows.select(*keep, *_BASE[:4], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), *more)
 
 
 def base_failed() -> Column:
@@ -186,5 +191,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with all their columns. Statistics are made twice, so that texts never move."""
     stats = runtime.cut(base_statistics(docs, "lang", "source"), "stats")
     packed = docs.select(F.struct(*docs.columns).alias("__row"), "text", "lang", "source")
-    judged = Estimate(stats.where(~base_failed())).judged(base_statistics(packed, "__row", "lang", "source"))
-    return judged.where("kept").select("__row.*")
+    judged = Estimate(stats.where(~base_failed())).judged(base_statistics(packed, "__row", "lang", "source", fence=True))
+    return judged.where("kept AND __fence >= 0").select("__row.*")

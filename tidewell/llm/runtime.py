@@ -8,9 +8,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Pairs (16 bytes each) up to which a single task finds the components; beyond it the work is spread.
+ONE_TASK_PAIRS = 2_000_000
+
 _shipped: set[str] = set()
 _own_base: dict[str, str] = {}
 
@@ -66,13 +70,43 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _label(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable)."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    up = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(up[a], up[b])
+        np.minimum.at(up, up[a], low)
+        np.minimum.at(up, up[b], low)
+        while not np.array_equal(nxt := up[up], up):
+            up = nxt
+        open_ = up[a] != up[b]
+        a, b = a[open_], b[open_]
+    return nodes, nodes[up]
+
+
+def _label_all(batches):
+    import pyarrow as pa
+
+    t = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    if t:
+        nodes, low = _label(np.concatenate([x for x, _ in t]), np.concatenate([x for _, x in t]))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(low)], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, one_task_pairs: int = ONE_TASK_PAIRS) -> DataFrame:
     """(a, b) long pairs -> (node, component): the smallest node reachable, for every node that an edge names.
 
-    Alternating large-star and small-star rounds: every step is a min() per key, combined before the shuffle,
+    At most one_task_pairs pairs go to one task. Beyond that bound: alternating large-star and small-star rounds: every step is a min() per key, combined before the shuffle,
     and an equi-join, so no task gathers a neighbourhood. Each round is written to the shared folder.
     """
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    if pairs.count() <= one_task_pairs:
+        ship(pairs.sparkSession)
+        out = cut(pairs.coalesce(1).mapInArrow(_label_all, "node long, component long"), "cc")
+        drop(pairs)
+        return out
     state = None
     while True:
         # large star: every larger neighbour moves to the smallest neighbour (or to the node itself)
