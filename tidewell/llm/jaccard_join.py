@@ -93,8 +93,37 @@ class Region:
             self.union.join(pivot, int(j))
         return 1 - inter / either
 
+    def parts(self, idx: np.ndarray) -> np.ndarray:
+        """Labels of parts of idx that no link joins: the region's own counts order the shingles, rarest first, and sets that share none of their first ones can't be linked."""
+        n = self.n[idx]
+        doc = np.repeat(np.arange(len(idx)), n)
+        flat = self.flat[np.repeat(self.offs[idx] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        count = np.bincount(flat, minlength=len(self.mark))[flat]
+        o = np.lexsort((flat, count, doc))
+        rank = np.arange(len(o)) - (np.cumsum(n) - n)[doc]
+        keep = (rank <= (n - _needed(n, self.percent))[doc]) & (count[o] > 1)
+        doc, flat = doc[keep], flat[o][keep]
+        o = np.lexsort((doc, flat))
+        doc, flat = doc[o], flat[o]
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        out = np.arange(len(idx))
+        if len(flat):
+            nodes, low = runtime.label(doc, doc[new][np.cumsum(new) - 1])
+            out[nodes] = low
+        return out
+
     def solve(self, idx: np.ndarray | None = None) -> np.ndarray:
         idx = np.arange(len(self.n)) if idx is None else idx
+        if len(idx) > BRUTE:
+            label = self.parts(idx)
+            o = np.argsort(label, kind="stable")
+            cells = np.split(idx[o], np.flatnonzero(np.diff(label[o])) + 1)
+            if len(cells) > 1:
+                for cell in cells:
+                    if len(cell) > 1:
+                        self.solve(cell)
+                return self.union.roots()
         if len(idx) <= BRUTE:
             for k in range(len(idx) - 1):
                 rest = idx[k + 1 :]

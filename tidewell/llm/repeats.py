@@ -20,7 +20,8 @@ SEGMENTS = 64
 #: Slots of the sketch: 2 bits each are sent to the workers, 64 MB whatever the corpus.
 SLOT_BITS = 28
 GATHER = 3_000_000
-OFTEN = 12
+#: Least counts of classes 1, 2 and 3.
+CLASSES = (2, 4, 16)
 Hashes = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -41,7 +42,7 @@ def _slots(b: bytes) -> np.ndarray:
 
 
 def build(docs: DataFrame, hashes: Hashes, slot_bits: int = SLOT_BITS) -> bytes:
-    """The classes of all slots, 2 bits each: 0 at most once, 1 repeated, 2 often. Its size doesn't depend on the corpus."""
+    """The classes of all slots, 2 bits each: 0 at most once, then CLASSES. Its size doesn't depend on the corpus."""
     per = 1 << max(3, slot_bits - SEGMENTS.bit_length() + 1)
 
     def flush(parts: list[np.ndarray]) -> Iterator[tuple[int, bytes, bytes]]:
@@ -81,7 +82,7 @@ def build(docs: DataFrame, hashes: Hashes, slot_bits: int = SLOT_BITS) -> bytes:
                 for blob in (seen.as_py(), again.as_py()):
                     at = _slots(blob)
                     count[at] = np.minimum(count[at], 250) + 1
-        cls = (count >= 2).astype(np.uint8) + (count >= OFTEN)
+        cls = sum(((count >= c).astype(np.uint8) for c in CLASSES), np.zeros(per, np.uint8))
         packed = cls[0::4] | cls[1::4] << 2 | cls[2::4] << 4 | cls[3::4] << 6
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["segment", "classes"])
 

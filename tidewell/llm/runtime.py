@@ -70,7 +70,7 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _label(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def label(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, smallest node reachable)."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
@@ -91,7 +91,7 @@ def _label_all(batches):
 
     t = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
     if t:
-        nodes, low = _label(np.concatenate([x for x, _ in t]), np.concatenate([x for _, x in t]))
+        nodes, low = label(np.concatenate([x for x, _ in t]), np.concatenate([x for _, x in t]))
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(low)], names=["node", "component"])
 
 
