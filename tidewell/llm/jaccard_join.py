@@ -172,9 +172,8 @@ def _region_rows(ids: list, texts: pa.Array, k: int, percent: int) -> tuple[list
     return ids, flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _scan(docs: DataFrame, k: int, percent: int, sketch: bytes, buckets: int) -> DataFrame:
+def _scan(docs: DataFrame, k: int, percent: int, shared, buckets: int, slot_bits: int) -> DataFrame:
     """kind 0: shingles as packed (hash, doc); 1: a doc with its set's size and digest; 2: pairs found on the way."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def scan(batches):
         for batch in batches:
@@ -191,7 +190,7 @@ def _scan(docs: DataFrame, k: int, percent: int, sketch: bytes, buckets: int) ->
                     digest[has] = np.add.reduceat(K.mix(h ^ K.U(0x5DEECE66D)), first[has])
                     digest = K.mix(digest + n.astype(np.uint64))
                 # the global order: class, then hash; only the prefix, and nothing that occurs once
-                cls = repeats.classes(shared.value, h)
+                cls = repeats.classes(shared.value, h, slot_bits)
                 o = np.lexsort((cls, doc)) if len(h) else np.zeros(0, np.int64)
                 rank = np.arange(len(h)) - first[doc]
                 keep = (rank <= (n - _needed(n, percent))[doc]) & (cls[o] > 0) & known[doc]
@@ -325,9 +324,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, region_ro
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     runtime.ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketch = repeats.build(docs, lambda buf, offs: K.shingle_sets(K.Words(buf, offs, K.WHITE, True), k)[1], slot_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(repeats.build(docs, lambda buf, offs: K.shingle_sets(K.Words(buf, offs, K.WHITE, True), k)[1], slot_bits))
     buckets = max(32, docs.count() // BUCKET_DOCS)
-    found = runtime.cut(_scan(docs, k, percent, sketch, buckets), "scan")
+    found = runtime.cut(_scan(docs, k, percent, shared, buckets, slot_bits), "scan")
+    shared.destroy()  # nothing reads it again: what it served is written
     each = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("digest"))
     point = each.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     equal = runtime.cut(each.where("n > 0").join(point, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "equal")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 SEGMENTS = 64
-#: Slots of the sketch: 2 bits each are sent to the workers, 64 MB whatever the corpus.
-SLOT_BITS = 28
+#: Slots of the sketch: 2 bits each are sent to the workers, 32 MB whatever the corpus.
+SLOT_BITS = 27
 GATHER = 3_000_000
 #: Least counts of classes 1, 2 and 3.
 CLASSES = (2, 4, 16)
@@ -87,10 +87,10 @@ def build(docs: DataFrame, hashes: Hashes, slot_bits: int = SLOT_BITS) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["segment", "classes"])
 
     rows = docs.select("text").mapInArrow(scatter, "segment int, seen binary, again binary").groupBy("segment").applyInArrow(gather, "segment int, classes binary").collect()
-    out = bytearray(SEGMENTS * per // 4)
-    for r in rows:
-        out[r.segment * per // 4 : (r.segment + 1) * per // 4] = r.classes
-    return bytes(out)
+    found = {r.segment: r.classes for r in rows}
+    del rows
+    empty = bytes(per // 4)
+    return b"".join(found.pop(i, empty) for i in range(SEGMENTS))
 
 
 def classes(sketch: bytes, h: np.ndarray, slot_bits: int = SLOT_BITS) -> np.ndarray:

@@ -84,8 +84,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _PA_RUN, strict=True)], schema=_PA_RUN)
 
 
-def _fingerprints(docs: DataFrame, sketch: bytes | None, window: int, buckets: int, slot_bits: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+def _fingerprints(docs: DataFrame, shared, window: int, buckets: int, slot_bits: int) -> DataFrame:
+    """shared: a broadcast sketch, or None."""
 
     def flush(parts):
         h, c, doc, pos = _sorted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -106,7 +106,7 @@ def _fingerprints(docs: DataFrame, sketch: bytes | None, window: int, buckets: i
                 if m <= 0:
                     continue
                 ok = w.doc[:m] == w.doc[window - 1 :]
-                if shared.value is not None:
+                if shared is not None:
                     at, g = _sampled(w)
                     once = np.zeros(len(w.doc) + 1, np.int64)
                     once[at[repeats.classes(shared.value, g, slot_bits) == 0] + 1] = 1
@@ -151,7 +151,7 @@ def _merge(rows: DataFrame, buckets: int) -> DataFrame:
 class FingerprintIndex:
     """Runs on the shared storage; add() takes documents that all come after those already in it."""
 
-    def __init__(self, window: int = WINDOW, buckets: int = 64, sketch: bytes | None = None, slot_bits: int = repeats.SLOT_BITS):
+    def __init__(self, window: int = WINDOW, buckets: int = 64, sketch=None, slot_bits: int = repeats.SLOT_BITS):
         self.window, self.buckets, self.sketch, self.slot_bits = window, buckets, sketch, slot_bits
         self.run: DataFrame | None = None
 
@@ -193,7 +193,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     runtime.ship(docs.sparkSession)
     buckets = max(16, docs.count() // BUCKET_DOCS)
-    index = FingerprintIndex(window, buckets, repeat_sketch(docs, slot_bits), slot_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(repeat_sketch(docs, slot_bits))
+    index = FingerprintIndex(window, buckets, shared, slot_bits)
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     gone = None
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
@@ -204,6 +205,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES
             part = part.where((F.col("doc_id") <= int(hi)) | F.lit(lo is None) & F.col("doc_id").isNull())
         found = index.add(part)
         gone = found if gone is None else gone.union(found)
+    shared.destroy()  # every batch is written
     masks = _masks(gone, window).select(F.col("doc_id").alias("id"), "mask")
     rows = docs.join(masks.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "mask")
 
