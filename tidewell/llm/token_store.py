@@ -3,7 +3,7 @@
 A document's ids (with an end id) are cut where a rolling hash over WINDOW ids has its low MASK_BITS at zero, so equal
 passages cut alike wherever they stand; a chunk is named by the blake2b digest of its ids and stored once. Layout:
 
-  chunks/   digest, n, ids     ids as byte planes of 16-bit (or 32-bit) integers, dealt by digest
+  written/kind=0   digest, n, body     ids as byte planes of 16-bit (or 32-bit) integers, dealt by digest (kind=1: recipes as they came)
   recipes/  doc_id, part, start, n_tokens, root, digests, counts     ascending doc_id; start counts from the part's first id
   manifest/ part, start, n_tokens, n_documents, root                 ids before the part; Merkle root of its documents
 
@@ -37,6 +37,9 @@ DIGEST = 16
 #: Documents for each recipe part and for each chunk part.
 PART_DOCS = 8192
 _SEEN = 500_000
+_WRITTEN = "digest binary, n long, body binary, doc_id long, counts binary, kind int"
+_RECIPES = "doc_id long, part int, start long, n_tokens long, root binary, digests binary, counts binary"
+_MANIFEST = "part int, start long, n_tokens long, n_documents long, root binary"
 
 
 def cut_points(ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -124,7 +127,7 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
     spread = F.when(F.col("kind") == 0, F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "digest"))
     rows.withColumn("__key", spread).repartition(parts, "__key").drop("__key").mapInArrow(once, form).write.partitionBy("kind").option("compression", "zstd").parquet(f"{target}/written")
 
-    staged = spark.read.schema(form).parquet(f"{target}/written").where("kind = 1")
+    staged = spark.read.schema(_WRITTEN).parquet(f"{target}/written").where("kind = 1")
 
     def place(batches):
         part, start = TaskContext.get().partitionId(), 0
@@ -135,18 +138,18 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at), pa.array(n), batch.column("digest"), batch.column("body"), batch.column("counts")], names=["doc_id", "part", "start", "n_tokens", "root", "digests", "counts"])
 
     ordered = staged.repartitionByRange(parts, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
-    ordered.mapInArrow(place, "doc_id long, part int, start long, n_tokens long, root binary, digests binary, counts binary").write.parquet(f"{target}/recipes")
+    ordered.mapInArrow(place, _RECIPES).write.parquet(f"{target}/recipes")
 
     def root(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).sort_by("start")
         yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "n_tokens": [sum(t.column("n_tokens").to_pylist())], "n_documents": [len(t)], "root": [merkle(t.column("root").to_pylist())]})
 
-    sums = spark.read.parquet(f"{target}/recipes").select("part", "start", "n_tokens", "root").groupBy("part").applyInArrow(root, "part int, n_tokens long, n_documents long, root binary").orderBy("part").collect()
+    sums = spark.read.schema(_RECIPES).parquet(f"{target}/recipes").select("part", "start", "n_tokens", "root").groupBy("part").applyInArrow(root, "part int, n_tokens long, n_documents long, root binary").orderBy("part").collect()
     before, manifest = 0, []
     for r in sums:  # a row for each part, never for each document
         manifest.append((r.part, before, r.n_tokens, r.n_documents, bytes(r.root)))
         before += r.n_tokens
-    spark.createDataFrame(manifest, "part int, start long, n_tokens long, n_documents long, root binary").coalesce(1).write.parquet(f"{target}/manifest")
+    spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.parquet(f"{target}/manifest")
 
 
 _POLY = 0xEDB88320
@@ -206,9 +209,9 @@ def verify_store(spark: SparkSession, target: str) -> DataFrame:
             crc = shift_crc(batch.column("crc").to_numpy(), 4 * batch.column("after").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("at"), batch.column("n"), pa.array(crc.astype(np.int64)), batch.column("good")], names=["part", "at", "n", "crc", "good"])
 
-    chunks = spark.read.parquet(f"{target}/written").where("kind = 0").select("digest", "body").mapInArrow(check, "digest binary, n long, crc long, good boolean")
-    recipes = spark.read.parquet(f"{target}/recipes")
-    manifest = spark.read.parquet(f"{target}/manifest").select("part", F.col("start").alias("before"))
+    chunks = spark.read.schema(_WRITTEN).parquet(f"{target}/written").where("kind = 0").select("digest", "body").mapInArrow(check, "digest binary, n long, crc long, good boolean")
+    recipes = spark.read.schema(_RECIPES).parquet(f"{target}/recipes")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{target}/manifest").select("part", F.col("start").alias("before"))
     used = recipes.select("part", "start", "root", "digests", "counts").mapInArrow(steps, "part int, at long, digest binary, n long, after long, rooted boolean")
     found = used.join(chunks.withColumnRenamed("n", "stored"), "digest", "left")
     found = found.select("part", "at", "n", "after", F.coalesce("crc", F.lit(0)).alias("crc"), F.expr("rooted AND coalesce(good AND stored = n, false)").alias("good"))
@@ -219,8 +222,8 @@ def verify_store(spark: SparkSession, target: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, target: str) -> DataFrame:
     """(doc_id, start, ids): every stored document's ids, put together from its chunks."""
-    recipes = spark.read.parquet(f"{target}/recipes")
-    manifest = spark.read.parquet(f"{target}/manifest").select("part", F.col("start").alias("before"))
+    recipes = spark.read.schema(_RECIPES).parquet(f"{target}/recipes")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{target}/manifest").select("part", F.col("start").alias("before"))
 
     def steps(batches):
         for batch in batches:
@@ -237,7 +240,7 @@ def read_documents(spark: SparkSession, target: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(ids, pa.list_(pa.int64()))], names=["digest", "ids"])
 
     runtime.ship(spark)
-    chunks = spark.read.parquet(f"{target}/written").where("kind = 0").select("digest", "body").mapInArrow(load, "digest binary, ids array<long>")
+    chunks = spark.read.schema(_WRITTEN).parquet(f"{target}/written").where("kind = 0").select("digest", "body").mapInArrow(load, "digest binary, ids array<long>")
     used = recipes.mapInArrow(steps, "part int, at long, doc_id long, k int, digest binary").join(chunks, "digest")
     whole = used.groupBy("part", "at").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.expr("transform(array_sort(collect_list(struct(k, ids))), x -> x.ids)")).alias("ids"))
     return whole.join(manifest, "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "ids")
