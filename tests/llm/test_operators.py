@@ -149,6 +149,7 @@ def test_substring_dedup(docs, texts, batches):
 
 
 def test_line_dedup(docs, texts):
+    docs = docs.selectExpr("*", "1 AS __gone", "2 AS __id", "3 AS __th")
     own, seqs, want = {}, {}, {}
     for d, t, *_ in sorted(texts, key=lambda x: x[0]):
         lines = (t or "").split("\n")

@@ -140,8 +140,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, count: bool = False, drop_emptied: bool = False) -> DataFrame:
     """docs with the deletions made, all columns kept; count adds n_lines and n_removed (__lines, __removed)."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    rows = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left").select(*(docs[c] for c in docs.columns), "__gone")
+    name = "__gone" + "_" * max(map(len, docs.columns))  # no column of docs is called so
+    gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias(name))
+    rows = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"].cast("long") == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left").select(*(docs[c] for c in docs.columns), gone[name])
     schema = docs.schema
     if count:
         schema = schema.add("__lines", "long").add("__removed", "long")
@@ -150,7 +151,7 @@ def dedup_lines(docs: DataFrame, count: bool = False, drop_emptied: bool = False
     def apply(batches):
         for batch in batches:
             texts, n, removed, keep = batch.column(at).to_pylist(), [], [], []
-            for k, gone in enumerate(batch.column("__gone").to_pylist()):
+            for k, gone in enumerate(batch.columns[-1].to_pylist()):
                 out = texts[k]
                 if gone or count:
                     own = (out or "").split("\n")
