@@ -129,6 +129,17 @@ def test_connected_components(spark):
     assert one == many and one
 
 
+def test_meet_deals_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "SHARES", 4)
+    monkeypatch.setattr(runtime, "LEAST_PART", 3)
+    rows = spark.createDataFrame([(0 if i % 3 else i % 7, i) for i in range(100)] + [(99, 5)], "k long, i long")
+    points = spark.createDataFrame([(k, k * 10) for k in range(8)], "k long, v long")
+    weights = runtime.cut(rows.join(points, "k").groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n"))
+    got = runtime.meet(rows, points, ["k"], weights, "i")
+    assert got.columns == ["k", "i", "v"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(points, "k").collect()))
+    assert runtime.meet(rows.where("false"), points, ["k"], weights.where("false"), "i").count() == 0
+
+
 def removed(texts, window=20):
     seen, out = {}, {}
     for d, t, *_ in sorted(texts, key=lambda x: x[0]):
@@ -148,8 +159,11 @@ def test_substring_dedup(docs, texts, batches):
     assert substring_dedup.remove_repeats(empty(docs)).count() == 0
 
 
-def test_line_dedup(docs, texts):
-    docs = docs.selectExpr("*", "1 AS __gone", "2 AS __id", "3 AS __th")
+@pytest.mark.parametrize("shares, least", [(runtime.SHARES, runtime.LEAST_PART), (5, 2)])
+def test_line_dedup(docs, texts, monkeypatch, shares, least):
+    monkeypatch.setattr(runtime, "SHARES", shares)
+    monkeypatch.setattr(runtime, "LEAST_PART", least)
+    docs = docs.selectExpr("*", "1 AS __gone", "2 AS __id", "3 AS __th", "4 AS __part")
     own, seqs, want = {}, {}, {}
     for d, t, *_ in sorted(texts, key=lambda x: x[0]):
         lines = (t or "").split("\n")

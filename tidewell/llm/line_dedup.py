@@ -3,7 +3,7 @@
 A document is the sequence of its \\n-separated lines' 64-bit hashes. Lines of MIN_WORDS words or more that two or more
 documents share are anchors; each joins its documents in a star to the earliest (smallest doc_id), never all pairs. No
 frequency bound makes a line too common: a group of thousands of copies is found like a group of two, at one pair per
-document and earlier partner. Each pair is aligned by patience diff (lines unique on both sides, longest increasing
+document and earlier partner. The documents of a very common line, and of a partner of very many, are dealt over tasks. Each pair is aligned by patience diff (lines unique on both sides, longest increasing
 sequence, grown to their neighbours, again between them); an aligned block that holds an anchor line is deleted from the
 later document. Alignments are judged on the input, not on what other pairs leave.
 
@@ -115,12 +115,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     runtime.ship(docs.sparkSession)
     lines = runtime.cut(_lines(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))), "lines")
     shared = lines.select("doc_id", "th", F.explode(F.array_distinct(F.expr("filter(h, (x, i) -> anchor[i])"))).alias("x"))
-    owner = shared.groupBy("x").agg(F.min(F.struct("doc_id", "th")).alias("o"), F.max("doc_id").alias("last")).where("o.doc_id < last").select("x", F.col("o.doc_id").alias("o_id"), F.col("o.th").alias("o_th"))
-    pairs = shared.join(owner, "x").where("doc_id > o_id").select("doc_id", "th", "o_id", "o_th").distinct()
+    owner = shared.groupBy("x").agg(F.min(F.struct("doc_id", "th")).alias("o"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("o.doc_id < last")
+    owner = runtime.cut(owner.select("x", F.col("o.doc_id").alias("o_id"), F.col("o.th").alias("o_th"), "n"), "owner")
+    pairs = runtime.meet(shared, owner.drop("n"), ["x"], owner, "doc_id").where("doc_id > o_id").select("doc_id", "th", "o_id", "o_th").distinct()
+    pairs = runtime.cut(pairs, "pairs")
+    partners = runtime.cut(pairs.groupBy("o_id", "o_th").agg(F.count("*").alias("n")), "partners")
     # equal texts of one doc_id have equal lines: one row of them will do
     one = lines.dropDuplicates(["doc_id", "th"])
     later = pairs.join(one.select("doc_id", "th", F.col("h").alias("b"), "anchor", "number"), ["doc_id", "th"])
-    both = later.join(one.select(F.col("doc_id").alias("o_id"), F.col("th").alias("o_th"), F.col("h").alias("a")), ["o_id", "o_th"])
+    both = runtime.meet(later, one.select(F.col("doc_id").alias("o_id"), F.col("th").alias("o_th"), F.col("h").alias("a")), ["o_id", "o_th"], partners, "doc_id")
 
     def align(batches):
         for batch in batches:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Pairs (16 bytes each) up to which a single task finds the components; beyond it the work is spread.
 ONE_TASK_PAIRS = 2_000_000
 
+#: A key of meet() with more than this share of all rows, and more rows than LEAST_PART, is dealt over several tasks.
+SHARES, LEAST_PART = 1000, 1000
+
 _shipped: set[str] = set()
 _own_base: dict[str, str] = {}
 
@@ -66,6 +69,21 @@ def drop(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def meet(rows: DataFrame, points: DataFrame, on: list[str], weights: DataFrame, spread: str) -> DataFrame:
+    """Inner join of rows with points (one row per key); weights is a stored table of the keys and n, their numbers of rows.
+
+    A key with over 1/SHARES of all rows is cut into parts of that size at most, on average: its rows are dealt by the
+    hash of the column spread, its point goes to every part. Fewer than SHARES keys can be so large, which bounds what
+    is broadcast, and all points together are repeated less than 2 * SHARES times.
+    """
+    part = max((weights.agg(F.sum("n")).first()[0] or 0) // SHARES + 1, LEAST_PART)
+    large = F.broadcast(weights.where(F.col("n") > part).select(*on, F.ceil(F.col("n") / part).alias("__parts")))
+    dealt = rows.join(large, on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")), F.lit(0).cast("bigint")))
+    each = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("__parts"), F.lit(1).cast("bigint")) - 1)
+    held = points.join(large, on, "left").withColumn("__part", F.explode(each))
+    return dealt.drop("__parts").join(held.drop("__parts"), [*on, "__part"]).drop("__part")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
