@@ -329,8 +329,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, region_ro
     found = runtime.cut(_scan(docs, k, percent, shared, buckets, slot_bits), "scan")
     shared.destroy()  # nothing reads it again: what it served is written
     each = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("digest"))
-    point = each.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    equal = runtime.cut(each.where("n > 0").join(point, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "equal")
+    point = runtime.cut(each.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "points")
+    again = point.where("copies > 1")
+    equal = runtime.meet(each.where("n > 0").select("doc_id", "digest"), again.select("digest", "rep"), ["digest"], again.select("digest", F.col("copies").alias("n")), "doc_id")
+    equal = runtime.cut(equal.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "equal")
     regions = runtime.connected_components(found.where("kind = 2").select("a", "b").union(equal))
     members = point.join(regions, F.col("rep") == F.col("node")).select(F.col("component").alias("region"), F.col("rep").alias("doc_id"), "n")
     size = members.groupBy("region").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
