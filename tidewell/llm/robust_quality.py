@@ -188,8 +188,12 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with all their columns. Statistics are made twice, so that texts never move."""
-    stats = runtime.cut(base_statistics(docs, "lang", "source"), "stats")
+    """The rows of docs that pass, with all their columns.
+
+    Statistics cost many times what storing a text costs, so they are made once and written beside the rows that pass the
+    base rules; the estimate reads only the statistics' columns of that table.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("__row"), "text", "lang", "source")
-    judged = Estimate(stats.where(~base_failed())).judged(base_statistics(packed, "__row", "lang", "source", fence=True))
-    return judged.where("kept AND __fence >= 0").select("__row.*")
+    stats = base_statistics(packed, "__row", "lang", "source", fence=True)
+    stats = runtime.cut(stats.where(~base_failed() & (F.col("__fence") >= 0)).drop("__fence"), "stats")
+    return Estimate(stats).judged(stats).where("kept").select("__row.*")
