@@ -13,8 +13,9 @@ can't tell them apart; so the space is first split exactly, and pivots work insi
    joined recursively, and small ones by comparing all members. Members within eps of a pivot are linked through
    it without being compared with each other. Where cells don't shrink (dense groups), every member outside the
    largest component becomes a pivot in turn, against those the triangle inequality leaves.
-3. A region beyond REGION_ROWS or REGION_SHINGLES isn't given to one task: its pivots are joined with its members
-   as a table, round by round, in the same way.
+3. A region beyond REGION_ROWS, REGION_SHINGLES or REGION_WORK isn't given to one task: it is first split as in 1 by
+   its own exact shingle counts; where it stays too large, its pivots are joined with its members as a table, round
+   by round, the members in parts of LARGE_PART rows.
 
 Equal sets are one point, whatever their number; every comparison counts exact set sizes of 64-bit shingle hashes.
 
@@ -37,6 +38,10 @@ from . import repeats, runtime
 
 REGION_ROWS = 20_000
 REGION_SHINGLES = 20_000_000
+#: Rows times shingles: what a task compares at most, were every member a pivot.
+REGION_WORK = 20_000_000_000
+#: Rows of a large region that meet its pivots in one task.
+LARGE_PART = 2_000
 BRUTE = 40
 PIVOTS = 8
 #: Documents for each bucket of the shingle exchange.
@@ -285,8 +290,8 @@ def _join_regions(members: DataFrame, docs: DataFrame, k: int, percent: int) ->
     return rows.repartition("region").sortWithinPartitions("region", "doc_id").mapInArrow(run, "a long, b long")
 
 
-def _join_large(members: DataFrame, docs: DataFrame, k: int, percent: int, pivots: int = 64) -> DataFrame:
-    """Regions too large for a task: pivots against all members as a join, until only the largest component has members that weren't one."""
+def _shingle_rows(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(region, doc_id, s, row): stored sets of the members; rows that repeat a doc_id have a row each."""
 
     def sets(batches):
         for batch in batches:
@@ -295,15 +300,48 @@ def _join_large(members: DataFrame, docs: DataFrame, k: int, percent: int, pivot
                 n = np.bincount(doc, minlength=b - a)
                 yield pa.RecordBatch.from_arrays([batch.column("region").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))], names=["region", "doc_id", "s"])
 
-    all_sets = runtime.cut(members.join(docs.select("doc_id", "text"), "doc_id").select("region", "doc_id", "text").mapInArrow(sets, "region long, doc_id long, s array<long>"), "sets")
+    rows = members.join(docs.select("doc_id", "text"), "doc_id").select("region", "doc_id", "text").mapInArrow(sets, "region long, doc_id long, s array<long>")
+    return runtime.cut(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
+
+
+def _refine(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, region): the regions split again, as Region.parts does in a task, by their exact shingle counts.
+
+    A sketch that a large corpus has filled orders shingles by hash alone and leaves regions too wide. Counts are
+    combined before the shuffle, and rows of very common shingles are dealt over tasks. Unlinked documents go.
+    """
+    on = ["region", "x"]
+    items = sets.select("region", "doc_id", "row", F.size("s").alias("size"), F.explode("s").alias("x"))
+    counts = runtime.cut(items.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    known = runtime.meet(items, counts.withColumnRenamed("n", "times"), on, counts, "row")
+    # what no other set has comes first in the order, and isn't looked at
+    rows = known.groupBy("region", "doc_id", "row", "size").agg(F.sort_array(F.collect_list(F.struct("times", "x"))).alias("l"))
+    first = F.expr(f"slice(l, 1, greatest(0, size(l) + 1 - CAST(ceil(size * {percent} / 100) AS INT)))")
+    prefix = runtime.cut(rows.select("region", "doc_id", F.explode(first).alias("e")).select("region", "doc_id", "e.x"), "prefix")
+    heads = prefix.groupBy(*on).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("least < last")
+    heads = runtime.cut(heads.drop("last"), "heads")
+    stars = runtime.meet(prefix, heads.drop("n"), on, heads.drop("least"), "doc_id")
+    parts = runtime.connected_components(stars.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    return runtime.cut(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("region")), "refined")
+
+
+def _join_large(all_sets: DataFrame, percent: int, pivots: int = 64) -> DataFrame:
+    """Regions too large for a task: pivots against all members as a join, until only the largest component has members that weren't one.
+
+    The members of a region are dealt over parts of LARGE_PART rows, and its pivots of a round go to every part.
+    """
+    sizes = runtime.cut(all_sets.groupBy("region").agg(F.count("*").alias("n")), "sizes")
+    parts = F.ceil(F.col("n") / LARGE_PART).alias("parts")
+    all_sets = runtime.meet(all_sets, sizes.select("region", parts), ["region"], sizes, "doc_id")
+    all_sets = runtime.cut(all_sets.withColumn("part", F.expr("pmod(xxhash64(doc_id), parts)")), "sets")
     used, links, turn = None, None, 0
     while True:
         state = all_sets.select("region", "doc_id")
         if links is not None:
             comp = runtime.connected_components(links)
             state = state.join(comp, F.col("doc_id") == F.col("node"), "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-            sizes = state.groupBy("region", "component").count()
-            big = sizes.groupBy("region").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("big"))
+            counts = state.groupBy("region", "component").count()
+            big = counts.groupBy("region").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("big"))
             state = state.join(big, "region").where("component <> big").join(used, ["region", "doc_id"], "left_anti")
         # hashes below a bound that a region's count sets: about so many pivots for each, at least one
         least = state.groupBy("region").agg(F.count("*").alias("waiting"), F.min(F.xxhash64(F.lit(turn), "doc_id")).alias("low"))
@@ -312,14 +350,19 @@ def _join_large(members: DataFrame, docs: DataFrame, k: int, percent: int, pivot
         if chosen.isEmpty():
             return links
         used = chosen if used is None else used.union(chosen)
-        p = chosen.join(all_sets, ["region", "doc_id"]).select("region", F.col("doc_id").alias("p"), F.col("s").alias("ps"))
-        both = all_sets.join(p, "region").where(F.expr(f"doc_id <> p AND 100 * least(size(s), size(ps)) >= {percent} * greatest(size(s), size(ps))"))
+        p = chosen.join(all_sets, ["region", "doc_id"]).select("region", F.col("doc_id").alias("p"), F.col("s").alias("ps"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+        both = all_sets.join(p, ["region", "part"]).where(F.expr(f"doc_id <> p AND 100 * least(size(s), size(ps)) >= {percent} * greatest(size(s), size(ps))"))
         both = both.withColumn("i", F.size(F.array_intersect("s", "ps"))).where(F.expr(f"100 * i >= {percent} * (size(s) + size(ps) - i)"))
         found = runtime.cut(both.select(F.col("doc_id").alias("a"), F.col("p").alias("b")), "links")
         links = found if links is None else links.union(found)
         turn += 1
 
 
+def _sized(rows: DataFrame, size: DataFrame) -> DataFrame:
+    """rows with rows and shingles of their region; a region that holds a third of all is dealt over tasks."""
+    return runtime.meet(rows, size, ["region"], size.select("region", F.col("rows").alias("n")), "doc_id")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, region_rows: int = REGION_ROWS, region_shingles: int = REGION_SHINGLES, slot_bits: int = repeats.SLOT_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     runtime.ship(docs.sparkSession)
@@ -335,13 +378,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, region_ro
     equal = runtime.cut(equal.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "equal")
     regions = runtime.connected_components(found.where("kind = 2").select("a", "b").union(equal))
     members = point.join(regions, F.col("rep") == F.col("node")).select(F.col("component").alias("region"), F.col("rep").alias("doc_id"), "n")
-    size = members.groupBy("region").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
-    members = runtime.cut(members.join(size, "region").select("region", "doc_id", "rows", "shingles").distinct(), "members")
-    fits = F.expr(f"rows <= {region_rows} AND shingles <= {region_shingles}")
+    size = runtime.cut(members.groupBy("region").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1"), "sizes")
+    members = runtime.cut(_sized(members, size).select("region", "doc_id", "rows", "shingles").distinct(), "members")
+    fits = F.expr(f"rows <= {region_rows} AND shingles <= {region_shingles} AND rows * shingles <= {REGION_WORK}")
     links = equal.union(runtime.cut(_join_regions(members.where(fits).select("region", "doc_id"), docs, k, percent), "links"))
     large = members.where(~fits).select("region", "doc_id")
     if not large.isEmpty():
-        links = links.union(_join_large(large, docs, k, percent))
+        sets = _shingle_rows(large, docs, k)
+        again = _refine(sets, percent)
+        sets = sets.drop("region").join(again, "doc_id")
+        size = sets.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.size("s")).alias("shingles"))
+        size = runtime.cut(size, "sizes")
+        again = _sized(again, size)
+        links = links.union(runtime.cut(_join_regions(again.where(fits).select("region", "doc_id"), docs, k, percent), "links"))
+        if not size.where(~fits).isEmpty():
+            links = links.union(_join_large(_sized(sets, size).where(~fits).select("region", "doc_id", "s"), percent))
     comp = runtime.connected_components(links)
     nodes = each.select("doc_id", F.col("n").alias("n_shingles")).join(comp, F.col("doc_id") == F.col("node"), "left")
     nodes = nodes.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
