@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned blocks of lines that an earlier document has go; n_chars follows; documents emptied by it go."""
-    out = line_dedup.dedup_lines(docs, drop_emptied=True)
+    out = line_dedup.dedup_lines(docs, drop_emptied=True, every=True)
     return out.selectExpr(*("length(text) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns)).to(docs.schema)
 
 

@@ -183,6 +183,35 @@ def test_line_dedup(docs, texts, monkeypatch, shares, least):
     assert line_dedup.dedup_lines(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("shares, least", [(runtime.SHARES, runtime.LEAST_PART), (5, 2)])
+def test_line_dedup_meets_every_partner(spark, docs, texts, monkeypatch, shares, least):
+    monkeypatch.setattr(runtime, "SHARES", shares)
+    monkeypatch.setattr(runtime, "LEAST_PART", least)
+    x, y, z = (f"line {c} of more than five words" for c in "xyz")
+    own = lambda i: f"words that only document {i} has"
+    # 50,002 and 50,003: crossing order, then a copy; 50,005 to 50,010: a line twice, alone in a shape, then aligned by a later one
+    rows = [f"{x}\n{y}\n{z}", f"{z}\n{y}\n{x}", f"{z}\n{y}\n{x}", f"{x}\ns", f"{own(4)}\n{x}\n{own(40)}\n{x}\n{own(41)}", f"{own(5)}\n{x}\n{own(50)}\n{x}\n{own(51)}"]
+    rows += [f"{x}\n{own(6)}\n{x}", f"{own(7)}\ns\n{y}\nt\n{own(70)}", f"{own(8)}\ns\n{y}\nt\n{own(80)}", f"{own(9)}\n{x}\n{own(90)}\n{x}\n{y}\n{own(91)}", f"{own(10)}\n{x}\n{own(92)}\n{x}\n{own(93)}\n{y}"]
+    rng = np.random.default_rng(4)
+    pool = [x, y, z, "s", "t", "", *(own(100 + i) for i in range(3))]
+    rows += ["\n".join(pool[k] if k < len(pool) else own(1000 + 10 * i + j) for j, k in enumerate(rng.integers(0, len(pool) + 3, 6))) for i in range(60)]
+    more = [(50_001 + i, t) for i, t in enumerate(rows)] + [(50_004, f"{x}\n{own(4)}"), (50_012, f"{z}\n{x}")]
+    every = sorted([*((d, t) for d, t, *_ in texts), *more], key=lambda r: r[0])
+    want, seqs = [], []
+    for d, t in every:
+        lines = (t or "").split("\n")
+        at = [i for i, v in enumerate(lines) if v]
+        seq = [lines[i] for i in at]
+        anchor = [len(words(v)) >= line_dedup.MIN_WORDS for v in seq]
+        keys = {v for v, a in zip(seq, anchor, strict=True) if a}
+        gone = {at[j] for e, other in seqs if e < d and keys & set(other) for j in line_dedup.common_blocks(other, seq, anchor)}
+        seqs.append((d, seq))
+        want.append((d, None if t is None else "\n".join(v for i, v in enumerate(lines) if i not in gone)))
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")), every=True)
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert line_dedup.dedup_lines(empty(docs), every=True).count() == 0
+
+
 def test_patience_keeps_order():
     assert line_dedup.patience([1, 2, 3, 4, 5], [9, 2, 3, 7, 5]) == [(1, 1), (2, 2), (4, 4)]
     assert line_dedup.patience([1, 2], [2, 1]) in ([(0, 1)], [(1, 0)]) and line_dedup.patience([], [1]) == []

@@ -14,7 +14,8 @@ texts of one doc_id change alike. A document that loses all its words keeps its
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,53 @@ def common_blocks(a: list[int], b: list[int], anchor: list[bool]) -> list[int]:
     return gone
 
 
+def _runs(h: list, weight: list[int]) -> list[tuple[int, int, int]]:
+    """(first, last, key) of the shortest runs from a line on and up to a line that weigh MIN_WORDS, without markers (None).
+
+    A block of MIN_WORDS that holds a line holds one of these runs around that line.
+    """
+    mask = (1 << 64) - 1
+    power, sums = [1], [0]
+    for x in h:
+        power.append(power[-1] * 0x9E3779B97F4A7C15 & mask)
+        sums.append((sums[-1] * 0x9E3779B97F4A7C15 + (x or 0)) & mask)
+    found, first, total = set(), 0, 0
+    up = []
+    for j, x in enumerate(h):
+        if x is None:
+            first, total, up = j + 1, 0, []
+            continue
+        total += weight[j]
+        up.append(j)
+        # up: the starts without a run yet; first: the last start from which the lines up to j weigh enough
+        if total >= MIN_WORDS:
+            while total - weight[first] >= MIN_WORDS:
+                total -= weight[first]
+                first += 1
+            found.add((first, j))
+            done = bisect_right(up, first)
+            found.update((i, j) for i in up[:done])
+            del up[:done]
+    out = []
+    for i, j in sorted(found):
+        n = j + 1 - i
+        key = ((sums[j + 1] - sums[i] * power[n]) * 0xD6E8FEB86659FD93 + n) & mask
+        out.append((i, j, key - (1 << 64) if key >> 63 else key))
+    return out
+
+
+def heavy_blocks(a: list, b: list, weight: list[int]) -> list[int]:
+    """Places in b of aligned blocks that weigh MIN_WORDS. Markers (None) stand for lines that never align."""
+    gone, block = [], []
+    for i, j in [*patience(a, ["" if x is None else x for x in b]), (-9, -9)]:
+        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+            if sum(weight[q] for _, q in block) >= MIN_WORDS:
+                gone += [q for _, q in block]
+            block = []
+        block.append((i, j))
+    return gone
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
@@ -105,9 +153,9 @@ def _lines(docs: DataFrame) -> DataFrame:
                 breaks = np.concatenate([[0], np.cumsum(buf == 10)])
                 number = breaks[lines.starts] - breaks[offs[lines.doc]]
                 per = pa.array(lines.first.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), *(pa.ListArray.from_arrays(per, x) for x in (pa.array(lines.h.view(np.int64)), pa.array(n >= MIN_WORDS), pa.array(number.astype(np.int32))))], names=["doc_id", "th", "h", "anchor", "number"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), *(pa.ListArray.from_arrays(per, x) for x in (pa.array(lines.h.view(np.int64)), pa.array(n >= MIN_WORDS), pa.array((n >= MIN_WORDS).astype(np.int32) * MIN_WORDS), pa.array(number.astype(np.int32))))], names=["doc_id", "th", "h", "anchor", "weight", "number"])
 
-    return docs.mapInArrow(scan, "doc_id long, th long, h array<long>, anchor array<boolean>, number array<int>")
+    return docs.mapInArrow(scan, "doc_id long, th long, h array<long>, anchor array<boolean>, weight array<int>, number array<int>")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -141,10 +189,123 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, count: bool = False, drop_emptied: bool = False) -> DataFrame:
-    """docs with the deletions made, all columns kept; count adds n_lines and n_removed (__lines, __removed)."""
+def _shapes(lines: DataFrame) -> DataFrame:
+    """(doc_id, th, s, h, weight, number, keys): the documents of which a line is also in another document, each run of other lines as one marker.
+
+    Documents with one shape s align alike with any third document.
+    """
+    each = lines.select("doc_id", "th", F.posexplode("h").alias("at", "x"))
+    held = each.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")
+    held = runtime.cut(held.select("x", "n"), "held")
+    places = runtime.meet(each, held.select("x"), ["x"], held, "doc_id").groupBy("doc_id", "th").agg(F.collect_list("at").alias("places"))
+
+    def shape(batches):
+        for batch in batches:
+            out = {x: [] for x in ("doc_id", "th", "s", "h", "weight", "number", "keys")}
+            for d, t, h, weight, number, places in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "th", "h", "weight", "number", "places")), strict=True):
+                row, last = ([], [], []), -1
+                for j in [*sorted(places), len(h)]:
+                    if j > last + 1:
+                        for x, v in zip(row, (None, 0, -1), strict=True):
+                            x.append(v)
+                    if j < len(h):
+                        for x, v in zip(row, (h[j], weight[j], number[j]), strict=True):
+                            x.append(v)
+                    last = j
+                s = hashlib.blake2b(repr(row[0]).encode(), digest_size=8).digest()
+                for x, v in zip(out, (d, t, int.from_bytes(s, "little", signed=True), *row, sorted({k for _, _, k in _runs(row[0], row[1])})), strict=True):
+                    out[x].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if x in ("doc_id", "th", "s") else pa.list_(pa.int64() if x in ("h", "keys") else pa.int32())) for x, v in out.items()], names=list(out))
+
+    one = lines.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "h", "weight", "number")
+    return runtime.cut(one.join(places, ["doc_id", "th"]).mapInArrow(shape, "doc_id long, th long, s long, h array<long>, weight array<int>, number array<int>, keys array<long>"), "shapes")
+
+
+def _align(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """(s, o_s, o_id) -> (s, at, o_id): the places of a shape that its partners align, with the earliest of them."""
+    pairs = runtime.cut(pairs.distinct(), "pairs")
+    own = runtime.cut(pairs.groupBy("s").agg(F.count("*").alias("n")), "own")
+    partners = runtime.cut(pairs.groupBy("o_s").agg(F.count("*").alias("n")), "partners")
+    later = runtime.meet(pairs, first.select("s", F.col("h").alias("b"), "weight"), ["s"], own, "o_s")
+    both = runtime.meet(later, first.select(F.col("s").alias("o_s"), F.col("h").alias("a")), ["o_s"], partners, "s")
+
+    def align(batches):
+        for batch in batches:
+            rows = [(s, o, heavy_blocks(a, b, weight)) for s, o, a, b, weight in zip(*(batch.column(x).to_pylist() for x in ("s", "o_id", "a", "b", "weight")), strict=True)]
+            rows = [x for x in rows if x[2]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], v) for k, v in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["s", "o_id", "gone"])
+
+    found = both.select("s", "o_id", "a", "b", "weight").mapInArrow(align, "s long, o_id long, gone array<int>")
+    return runtime.cut(found.select("s", "o_id", F.explode("gone").alias("at")).groupBy("s", "at").agg(F.min("o_id").alias("o_id")), "aligned")
+
+
+def every_repeated_line(docs: DataFrame) -> DataFrame:
+    """As repeated_lines(), but with the blocks that any earlier document aligns.
+
+    Shapes are aligned instead of documents, each with the earliest document of every other shape that shares a run:
+    first with a run's earliest holder, then, for the runs that this left, with all others.
+    """
+    runtime.ship(docs.sparkSession)
+    shapes = _shapes(runtime.cut(_lines(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))), "lines"))
+    sizes = runtime.cut(shapes.groupBy("s").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "sizes")
+
+    def own(batches):
+        for batch in batches:
+            owns, until = [], []
+            for h, weight, i, last in zip(*(batch.column(x).to_pylist() for x in ("h", "weight", "id", "last")), strict=True):
+                owns.append(heavy_blocks(h, h, weight))
+                # where the first document aligns all that could be aligned, later ones of its shape need no other partner
+                until.append(i if {x for p, q, _ in _runs(h, weight) for x in range(p, q + 1)} <= set(owns[-1]) else last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(owns, pa.list_(pa.int32())), pa.array(until, pa.int64())], names=[*batch.schema.names[:-1], "own", "until"])
+
+    reps = sizes.select(F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "last")
+    first = shapes.join(reps, ["doc_id", "th"]).select("s", F.col("doc_id").alias("id"), "h", "weight", "keys", "last")
+    first = runtime.cut(first.mapInArrow(own, "s long, id long, h array<long>, weight array<int>, keys array<long>, own array<int>, until long"), "first")
+    keyed = runtime.cut(first.select("s", "id", "until", F.explode("keys").alias("key")), "keyed")
+    owner = keyed.groupBy("key").agg(F.min(F.struct("id", "s")).alias("o"), F.count("*").alias("n")).where("n > 1")
+    owner = runtime.cut(owner.select("key", F.col("o.id").alias("o_id"), F.col("o.s").alias("o_s"), "n"), "owner")
+    star = runtime.meet(keyed, owner.drop("n"), ["key"], owner, "s").where("o_id < until AND o_s <> s")
+    near = _align(star.select("s", "o_s", "o_id"), first)
+    done = first.select("s", "id").join(near, "s").where("o_id < id").groupBy("s").agg(F.collect_list("at").alias("gone"))
+
+    def rest(batches):
+        for batch in batches:
+            shape, until, keys = [], [], []
+            for s, u, h, weight, gone in zip(*(batch.column(x).to_pylist() for x in ("s", "until", "h", "weight", "gone")), strict=True):
+                gone = set(gone or ())
+                for k in {k for i, j, k in _runs(h, weight) if any(x not in gone for x in range(i, j + 1))}:
+                    shape.append(s)
+                    until.append(u)
+                    keys.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (shape, until, keys)], names=["s", "until", "key"])
+
+    left = first.where("size(keys) > 0").join(done, "s", "left").select("s", "until", "h", "weight", "gone").mapInArrow(rest, "s long, until long, key long")
+    left = runtime.cut(runtime.meet(left, owner, ["key"], owner.select("key", "n"), "s").where("o_id < until").select("key", "s", "until"), "left")
+    sought = runtime.cut(owner.join(left.select("key").distinct(), "key", "left_semi").select("key", "n"), "sought")
+    holders = keyed.select("key", F.col("s").alias("o_s"), F.col("id").alias("o_id"))
+    far = _align(runtime.meet(holders, left, ["key"], sought, "o_s").where("o_id < until AND o_s <> s").select("s", "o_s", "o_id"), first)
+    found = near.unionByName(far).groupBy("s", "at").agg(F.min("o_id").alias("o_id")).groupBy("s").agg(F.collect_list(F.struct("at", "o_id")).alias("found"))
+    found = first.select("s", "id", "own").join(found, "s", "left")
+
+    def number(batches):
+        for batch in batches:
+            gone = []
+            for d, numbers, i, owns, found in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "number", "id", "own", "found")), strict=True):
+                places = {x["at"] for x in found or () if x["o_id"] < d}
+                gone.append([numbers[j] for j in (places.union(owns) if i < d else places)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "th", "gone"])
+
+    rows = runtime.meet(shapes.select("doc_id", "th", "s", "number"), found, ["s"], sizes.select("s", "n"), "doc_id")
+    return rows.select("doc_id", "th", "number", "id", "own", "found").mapInArrow(number, "doc_id long, th long, gone array<int>").where("size(gone) > 0")
+
+
+def dedup_lines(docs: DataFrame, count: bool = False, drop_emptied: bool = False, every: bool = False) -> DataFrame:
+    """docs with the deletions made, all columns kept; count adds n_lines and n_removed (__lines, __removed).
+
+    every: a block goes if any earlier document aligns it, not only the earliest holder of one of its lines.
+    """
     name = "__gone" + "_" * max(map(len, docs.columns))  # no column of docs is called so
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias(name))
+    gone = (every_repeated_line if every else repeated_lines)(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias(name))
     rows = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"].cast("long") == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__th"]), "left").select(*(docs[c] for c in docs.columns), gone[name])
     schema = docs.schema
     if count:
