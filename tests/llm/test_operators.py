@@ -106,6 +106,12 @@ def test_jaccard_edges(docs, spark):
     assert sorted(map(repr, (tuple(r) for r in jaccard_join.jaccard_components(rows).collect()))) == sorted(map(repr, [(None, 26, None), (4, 26, 4), (4, 26, 4), (9, 26, 4)]))
 
 
+def test_jaccard_null_id_before_a_known_copy(spark):
+    t = " ".join(f"a{i}" for i in range(60))
+    rows = spark.createDataFrame([(None, t), (4, t), (9, t + " end")], "doc_id long, text string").coalesce(1)
+    assert sorted(map(repr, map(tuple, jaccard_join.jaccard_components(rows, 5, 80).collect()))) == sorted(map(repr, [(None, 56, None), (4, 56, 4), (9, 57, 4)]))
+
+
 def test_region_solver_equals_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(20):

@@ -200,10 +200,11 @@ def _scan(docs: DataFrame, k: int, percent: int, shared, buckets: int, slot_bits
                 rank = np.arange(len(h)) - first[doc]
                 keep = (rank <= (n - _needed(n, percent))[doc]) & (cls[o] > 0) & known[doc]
                 sig, at = h[o][keep], doc[keep]
-                # equal sets are one point: only the first of a slice goes on
-                _, lead = np.unique(digest, return_index=True)
+                # equal sets are one point: only the first of a slice that has an id goes on
+                some = np.flatnonzero(known)
+                _, lead = np.unique(digest[some], return_index=True)
                 is_lead = np.zeros(b - a, bool)
-                is_lead[lead] = True
+                is_lead[some[lead]] = True
                 m = is_lead[at]
                 sig, at = sig[m], ids[at[m]]
                 o = np.lexsort((at, sig))
@@ -219,7 +220,6 @@ def _scan(docs: DataFrame, k: int, percent: int, shared, buckets: int, slot_bits
                     sig, at = sig[new], at[new]
                     for c, s, i in K.by_bucket(((sig >> K.U(32)) * K.U(buckets) >> K.U(32)).astype(np.int64), sig, at):
                         out.append((c, 0, K.pack(s), K.pack(i), None))
-                some = np.flatnonzero(known)
                 out.append((int(ids[0]) % buckets, 1, K.pack(ids[some]), K.pack(n[some]), K.pack(digest[some])))
                 yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "kind", "a", "b", "c"), r, strict=True)) for r in out], schema=pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]))
 
