@@ -202,19 +202,26 @@ def test_line_dedup_meets_every_partner(spark, docs, texts, monkeypatch, shares,
     pool = [x, y, z, "s", "t", "", *(own(100 + i) for i in range(3))]
     rows += ["\n".join(pool[k] if k < len(pool) else own(1000 + 10 * i + j) for j, k in enumerate(rng.integers(0, len(pool) + 3, 6))) for i in range(60)]
     more = [(50_001 + i, t) for i, t in enumerate(rows)] + [(50_004, f"{x}\n{own(4)}"), (50_012, f"{z}\n{x}")]
+    # 60,001 to 60,008: a whole copy of few words, a list of short lines, a line without spaces
+    short, han = "a b\nc\nd e\nf", "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03\u516b\u4e5d\u5341"
+    more += [(60_001, "hi\nho"), (60_002, "hi\nho"), (60_003, f"q\n{short}"), (60_004, f"{own(11)}\n{short}\nr"), (60_005, f"{han}\nu"), (60_006, f"v\n{han}"), (60_007, "c\nw"), (60_008, "c\nv")]
     every = sorted([*((d, t) for d, t, *_ in texts), *more], key=lambda r: r[0])
     want, seqs = [], []
     for d, t in every:
         lines = (t or "").split("\n")
         at = [i for i, v in enumerate(lines) if v]
         seq = [lines[i] for i in at]
-        anchor = [len(words(v)) >= line_dedup.MIN_WORDS for v in seq]
-        keys = {v for v, a in zip(seq, anchor, strict=True) if a}
-        gone = {at[j] for e, other in seqs if e < d and keys & set(other) for j in line_dedup.common_blocks(other, seq, anchor)}
+        weight = [max(len(words(v)), len(re.findall("[\u3000-\u9fff\u0e00-\u0eff]", v)) // 2) for v in seq]
+        gone = set()
+        for e, other in seqs:
+            if e < d and set(seq) & set(other):
+                gone |= {at[j] for j in (range(len(seq)) if other == seq else line_dedup.heavy_blocks(other, seq, weight))}
         seqs.append((d, seq))
         want.append((d, None if t is None else "\n".join(v for i, v in enumerate(lines) if i not in gone)))
     out = line_dedup.dedup_lines(docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")), every=True)
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    got = {d: v for d, v in want if d > 60_000}
+    assert [got[60_000 + i] for i in (2, 4, 6, 8)] == ["", f"{own(11)}\nr", "v", "c\nv"]
     assert line_dedup.dedup_lines(empty(docs), every=True).count() == 0
 
 

@@ -5,7 +5,9 @@ documents share are anchors; each joins its documents in a star to the earliest
 frequency bound makes a line too common: a group of thousands of copies is found like a group of two, at one pair per
 document and earlier partner. The documents of a very common line, and of a partner of very many, are dealt over tasks. Each pair is aligned by patience diff (lines unique on both sides, longest increasing
 sequence, grown to their neighbours, again between them); an aligned block that holds an anchor line is deleted from the
-later document. Alignments are judged on the input, not on what other pairs leave.
+later document. That is the default of dedup_lines(). With every=True, which the query and the pipeline use, a block is
+deleted if any earlier document aligns it and its lines have MIN_WORDS words together (two characters of a script without
+spaces count as a word), or if the lines of both texts are equal as a whole. Alignments are judged on the input, not on what other pairs leave.
 
 Defined results: null text stays null and has no lines; empty lines never anchor, but go with the block they lie in; rows
 without a doc_id stay as they are; rows that repeat a doc_id aren't compared with each other; ties can't occur, as equal
@@ -152,8 +154,12 @@ def _lines(docs: DataFrame) -> DataFrame:
                 # a line's number counts the line breaks before it in its text
                 breaks = np.concatenate([[0], np.cumsum(buf == 10)])
                 number = breaks[lines.starts] - breaks[offs[lines.doc]]
+                # scripts without spaces (Han, kana, Thai, Lao): two characters weigh a word
+                after = np.append(buf[1:], 0)
+                chars = np.concatenate([[0], np.cumsum((buf >= 0xE3) & (buf <= 0xE9) | (buf == 0xE0) & (after >= 0xB8) & (after <= 0xBB))])
+                weight = np.maximum(n, (chars[lines.ends] - chars[lines.starts]) // 2)
                 per = pa.array(lines.first.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), *(pa.ListArray.from_arrays(per, x) for x in (pa.array(lines.h.view(np.int64)), pa.array(n >= MIN_WORDS), pa.array((n >= MIN_WORDS).astype(np.int32) * MIN_WORDS), pa.array(number.astype(np.int32))))], names=["doc_id", "th", "h", "anchor", "weight", "number"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), *(pa.ListArray.from_arrays(per, x) for x in (pa.array(lines.h.view(np.int64)), pa.array(n >= MIN_WORDS), pa.array(weight.astype(np.int32)), pa.array(number.astype(np.int32))))], names=["doc_id", "th", "h", "anchor", "weight", "number"])
 
     return docs.mapInArrow(scan, "doc_id long, th long, h array<long>, anchor array<boolean>, weight array<int>, number array<int>")
 
@@ -253,7 +259,8 @@ def every_repeated_line(docs: DataFrame) -> DataFrame:
         for batch in batches:
             owns, until = [], []
             for h, weight, i, last in zip(*(batch.column(x).to_pylist() for x in ("h", "weight", "id", "last")), strict=True):
-                owns.append(heavy_blocks(h, h, weight))
+                # without a marker, equal shapes are equal texts, which need no weight
+                owns.append(heavy_blocks(h, h, weight) if None in h else list(range(len(h))))
                 # where the first document aligns all that could be aligned, later ones of its shape need no other partner
                 until.append(i if {x for p, q, _ in _runs(h, weight) for x in range(p, q + 1)} <= set(owns[-1]) else last)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(owns, pa.list_(pa.int32())), pa.array(until, pa.int64())], names=[*batch.schema.names[:-1], "own", "until"])
