@@ -134,3 +134,9 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.awaitTermination()
     want = Engine(spark, c, unit=1).execute("SELECT user_id, COUNT(*) FROM b GROUP BY user_id WINDOW(time, 700, 700)")[1]
     assert sorted(got) == sorted(tuple(r) for r in want.collect()) and got
+
+
+@pytest.mark.parametrize("sql", ["SELECT * FROM s WINDOW(count, 100, 25)", "SELECT a FROM s JOIN (SELECT a FROM c) USING (a)", "SELECT a, COUNT(*) FROM s GROUP BY a", "SELECT COUNT(*) FROM s", "SELECT DISTINCT a FROM s", "SELECT a FROM s WINDOW(count, 5, 5) LIMIT 3"])
+def test_stream_refuses_what_it_cannot_do_whole(sql):
+    with pytest.raises(DialectError, match="a stream"):
+        Engine(None, None).stream(sql, print)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators import aggregates, joins, windows
 from ..sources.catalog import Catalog, Event
-from .dialect import QuerySpec, parse
+from .dialect import DialectError, QuerySpec, parse
 
 log = logging.getLogger(__name__)
 
@@ -52,6 +52,14 @@ class Engine:
         from ..streaming.stateful import windowed_stream
 
         spec = parse(sql)
+        if spec.join:
+            raise DialectError("a stream can't JOIN")
+        if spec.window and spec.window.step != spec.window.size:
+            raise DialectError("a stream's WINDOW needs a step equal to its size")
+        if spec.order_by or spec.limit is not None:
+            raise DialectError("a stream can't ORDER BY or LIMIT")
+        if not spec.window and (spec.group_by or spec.distinct or any(i.agg for i in spec.items)):
+            raise DialectError("a stream needs a WINDOW for aggregates, GROUP BY and DISTINCT")
         event = self.catalog.get(spec.source)
         df = event.load(self.spark)
         df = df.where(F.expr(spec.where)) if spec.where else df
