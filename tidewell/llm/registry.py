@@ -125,21 +125,25 @@ def _op8_sql() -> str:
 WITH d AS (SELECT doc_id, {words} AS w FROM documents),
 b AS (SELECT item_id, {words} AS w FROM benchmark),
 keys AS (
-  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x
+  SELECT item_id, i - 1 AS q, n, array_to_string(w[i:i + n - 1], ' ') AS x
   FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
 ), sizes AS (SELECT DISTINCT n FROM keys),
 places AS (
   SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
-), found AS (SELECT p.doc_id, p.i, p.n, k.item_id FROM places p JOIN keys k ON p.n = k.n AND p.x = k.x),
+), found AS (SELECT p.doc_id, p.i, p.n, k.item_id, k.q FROM places p JOIN keys k ON p.n = k.n AND p.x = k.x),
 hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM found, range(0, 13) t(k) WHERE k < n GROUP BY doc_id),
-marks AS (SELECT DISTINCT doc_id, i + k AS pos FROM found, range(0, 13) t(k) WHERE k < n),
 runs AS (
-  SELECT doc_id, min(pos) AS first, count(*) AS size FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM marks) GROUP BY doc_id, g
-), longest AS (SELECT doc_id, max(size) AS longest_words, arg_min(first - 1, struct_pack(a := -size, b := first)) AS longest_start FROM runs GROUP BY doc_id),
+  SELECT doc_id, item_id, min(i) - 1 AS first, min(q) AS place, count(*) + any_value(n) - 1 AS size
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - q ORDER BY i) AS g FROM found) GROUP BY doc_id, item_id, i - q, g
+), longest AS (
+  SELECT doc_id, size AS longest_words, first AS longest_start, CAST(item_id AS VARCHAR) AS longest_item, place AS longest_item_start
+  FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, first, CAST(item_id AS VARCHAR) NULLS LAST, place) = 1
+),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest_words, 0) AS longest_words, coalesce(longest_start, -1) AS longest_start
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(longest_words, 0) AS longest_words, coalesce(longest_start, -1) AS longest_start, longest_item, coalesce(longest_item_start, -1) AS longest_item_start
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
