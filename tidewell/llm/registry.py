@@ -165,9 +165,15 @@ WITH parts AS (
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts
 ), outcome AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id
+), bares AS (
+  SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM urls
+), levels AS (
+  SELECT host, CASE WHEN number THEN bare WHEN wide THEN regexp_extract(bare, '([^.]*\.)?[^.]*\.[^.]*$', 0) ELSE regexp_extract(bare, '([^.]*\.)?[^.]*$', 0) END AS domain,
+         CASE WHEN number THEN '' WHEN wide THEN regexp_extract(bare, '[^.]*\.[^.]*$', 0) ELSE regexp_extract(bare, '[^.]*$', 0) END AS suffix
+  FROM (SELECT *, regexp_matches(bare, '^([0-9]+(\.[0-9]+){{3}}|\[.*\])$') AS number, regexp_extract(bare, '[^.]*\.[^.]*$', 0) IN ({", ".join(f"'{x}'" for x in host_reputation.SUFFIXES)}) AS wide FROM bares)
 ), hosts AS (
-  SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad
-  FROM urls LEFT JOIN outcome ON page_id = doc_id GROUP BY host
+  SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+  FROM urls JOIN levels USING (host) LEFT JOIN outcome ON page_id = doc_id GROUP BY host
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 {strength("suffixes", "ms")}, {strength("domains", "md")}, {strength("hosts", "mh")},

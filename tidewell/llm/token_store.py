@@ -6,13 +6,20 @@ passages cut alike wherever they stand; a chunk is named by the blake2b digest o
   written/kind=0   digest, n, body     ids as byte planes of 16-bit (or 32-bit) integers, dealt by digest (kind=1: recipes as they came)
   recipes/  doc_id, part, start, n_tokens, root, digests, counts     ascending doc_id; start counts from the part's first id
   manifest/ part, start, n_tokens, n_documents, root                 ids before the part; Merkle root of its documents
+  groups/   grp, start, n_tokens, n_parts, root                      the same for FAN parts each
+  head/     n_groups, n_tokens, root                                 one row: the root of the store, which write_store() returns
 
-root of a document is the Merkle root of its chunk digests. Reading recomputes every chunk's digest from its bytes and
-every root from the digests. A document's crc32 is combined from the crc32 of its chunks' bytes (crc32 is linear), so
-checking a whole store moves a few bytes a chunk and never the ids; read_documents() returns the ids themselves.
+The root of a document is the Merkle root of its chunk digests; that of a part is over doc_id, start, length and root of
+its documents in order; that of a group over its parts' rows, that of the store over its groups' rows. verify_store()
+recomputes all of them: each chunk's digest from its bytes, each document's root, each part's root, counts and places
+from its recipes, each group from the manifest, and the head from the groups. So a lost, added, altered or swapped row of
+any table makes the rows that it concerns unverified: those of the part, or all rows where the tables above it or the
+root that the caller holds don't agree. A document's crc32 is combined from the crc32 of its chunks' bytes (crc32 is
+linear), so checking a whole store moves a few bytes a chunk and never the ids; read_documents() returns the ids themselves.
 
 Defined results: null or empty text is the end id alone; rows without a doc_id come first; rows that repeat are stored
-as rows of their own (their chunks once); an empty table gives an empty store.
+as rows of their own (their chunks once); an empty table gives an empty store; other columns of docs aren't read. A part
+whose recipes are lost gives one unverified row without a doc_id.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from typing import Iterator, Tuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -36,10 +43,14 @@ MOST = 4096
 DIGEST = 16
 #: Documents for each recipe part and for each chunk part.
 PART_DOCS = 8192
+#: Parts for each group of the manifest.
+FAN = 4096
 _SEEN = 500_000
 _WRITTEN = "digest binary, n long, body binary, doc_id long, counts binary, kind int"
 _RECIPES = "doc_id long, part int, start long, n_tokens long, root binary, digests binary, counts binary"
 _MANIFEST = "part int, start long, n_tokens long, n_documents long, root binary"
+_GROUPS = "grp int, start long, n_tokens long, n_parts long, root binary"
+_HEAD = "n_groups long, n_tokens long, root binary"
 
 
 def cut_points(ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -70,6 +81,50 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
+def leaf(*fields: int | bytes | None) -> bytes:
+    """The digest of a row of numbers and digests."""
+    parts = [b"-" if x is None else b"#" + int(x).to_bytes(8, "little", signed=True) if not isinstance(x, bytes) else b"=" + x for x in fields]
+    return hashlib.blake2b(b"".join(parts), digest_size=DIGEST).digest()
+
+
+def _parts(recipes: DataFrame) -> DataFrame:
+    """part, n_tokens, n_documents, root, gapless of the recipes; a part has about PART_DOCS rows."""
+
+    def root(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("start")
+        n = t.column("n_tokens").to_numpy()
+        leaves = [leaf(*r) for r in zip(*(t.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root")), strict=True)]
+        gapless = bool((t.column("start").to_numpy() == np.cumsum(n) - n).all())
+        yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "n_tokens": [int(n.sum())], "n_documents": [len(t)], "root": [merkle(leaves)], "gapless": [gapless]})
+
+    return recipes.select("part", "doc_id", "start", "n_tokens", "root").groupBy("part").applyInArrow(root, "part int, n_tokens long, n_documents long, root binary, gapless boolean")
+
+
+def _groups(parts: DataFrame) -> list[tuple[int, int, int, bytes]]:
+    """(grp, n_tokens, n_parts, root) of FAN parts each, ascending: a row for every FAN * PART_DOCS documents."""
+
+    def root(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("part")
+        leaves = [leaf(*r) for r in zip(*(t.column(c).to_pylist() for c in ("part", "n_tokens", "n_documents", "root")), strict=True)]
+        yield pa.RecordBatch.from_pydict({"grp": pa.array([key[0].as_py()], pa.int32()), "n_tokens": [sum(t.column("n_tokens").to_pylist())], "n_parts": [len(t)], "root": [merkle(leaves)]})
+
+    rows = parts.selectExpr(f"CAST(part DIV {FAN} AS INT) AS grp", "part", "n_tokens", "n_documents", "root").groupBy("grp").applyInArrow(root, "grp int, n_tokens long, n_parts long, root binary").collect()
+    return sorted((r.grp, r.n_tokens, r.n_parts, bytes(r.root)) for r in rows)
+
+
+def _head(groups: list[tuple[int, int, int, bytes]]) -> bytes:
+    return merkle([leaf(*g) for g in groups])
+
+
+def _placed(parts: DataFrame, groups: list[tuple[int, int, int, bytes]]) -> DataFrame:
+    """parts with start, the ids before each: running sums inside a group behind the sums of the groups."""
+    ends = np.cumsum([0, *(g[1] for g in groups)]).tolist()
+    first = parts.sparkSession.createDataFrame([(g[0], at) for g, at in zip(groups, ends, strict=False)], "grp int, first long")
+    rows = parts.withColumn("grp", F.expr(f"CAST(part DIV {FAN} AS INT)"))
+    before = F.sum("n_tokens").over(Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(first), "grp").withColumn("start", F.col("first") + F.col("before")).drop("grp", "first", "before")
+
+
 def _store_ids(ids: np.ndarray) -> bytes:
     narrow = not len(ids) or ids.max() < 65536
     return (b"\2" if narrow else b"\4") + K.pack(ids.astype(np.uint16 if narrow else np.uint32))
@@ -79,7 +134,8 @@ def load_ids(b: bytes) -> np.ndarray:
     return K.unpack(b[1:], np.uint16 if b[0] == 2 else np.uint32).astype(np.uint32)
 
 
-def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: int = 1) -> None:
+def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: int = 1) -> bytes:
+    """Writes the store and returns its root."""
     spark = docs.sparkSession
     runtime.ship(spark)
     path = path or tokens.vocabulary_path()
@@ -140,16 +196,14 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
     ordered = staged.repartitionByRange(parts, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
     ordered.mapInArrow(place, _RECIPES).write.parquet(f"{target}/recipes")
 
-    def root(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by("start")
-        yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "n_tokens": [sum(t.column("n_tokens").to_pylist())], "n_documents": [len(t)], "root": [merkle(t.column("root").to_pylist())]})
-
-    sums = spark.read.schema(_RECIPES).parquet(f"{target}/recipes").select("part", "start", "n_tokens", "root").groupBy("part").applyInArrow(root, "part int, n_tokens long, n_documents long, root binary").orderBy("part").collect()
-    before, manifest = 0, []
-    for r in sums:  # a row for each part, never for each document
-        manifest.append((r.part, before, r.n_tokens, r.n_documents, bytes(r.root)))
-        before += r.n_tokens
-    spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.parquet(f"{target}/manifest")
+    parts = runtime.cut(_parts(spark.read.schema(_RECIPES).parquet(f"{target}/recipes")), "parts")
+    groups = _groups(parts)
+    _placed(parts, groups).select("part", "start", "n_tokens", "n_documents", "root").write.parquet(f"{target}/manifest")
+    runtime.drop(parts)
+    ends = np.cumsum([0, *(g[1] for g in groups)]).tolist()
+    spark.createDataFrame([(g, at, n, k, r) for (g, n, k, r), at in zip(groups, ends, strict=False)], _GROUPS).coalesce(1).write.parquet(f"{target}/groups")
+    spark.createDataFrame([(len(groups), ends[-1], _head(groups))], _HEAD).coalesce(1).write.parquet(f"{target}/head")
+    return _head(groups)
 
 
 _POLY = 0xEDB88320
@@ -176,8 +230,26 @@ def shift_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
-def verify_store(spark: SparkSession, target: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, n_chunks, verified: read from the files, a row per stored document."""
+def _checked(spark: SparkSession, target: str, root: bytes | None) -> DataFrame:
+    """part, before, found (its documents are there at all), sound: every part that the manifest or the recipes name."""
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{target}/manifest")
+    groups = _groups(manifest)
+    held = sorted(tuple(r) for r in spark.read.schema(_GROUPS).parquet(f"{target}/groups").collect())
+    head = [tuple(r) for r in spark.read.schema(_HEAD).parquet(f"{target}/head").collect()]
+    ends = np.cumsum([0, *(g[1] for g in groups)]).tolist()
+    above = [(g, at, n, k, r) for (g, n, k, r), at in zip(groups, ends, strict=False)] == [(g, at, n, k, bytes(r)) for g, at, n, k, r in held]
+    above = above and [(n, t, bytes(r)) for n, t, r in head] == [(len(groups), ends[-1], _head(groups))] and root in (None, _head(groups))
+    own = _parts(spark.read.schema(_RECIPES).parquet(f"{target}/recipes")).select("part", *(F.col(c).alias(f"f_{c}") for c in ("n_tokens", "n_documents", "root")), "gapless")
+    # one row per part, also where the manifest repeats one
+    named = _placed(manifest, groups).withColumnRenamed("start", "due").join(manifest.select("part", "start"), "part")
+    named = named.groupBy("part").agg(F.min("start").alias("before"), F.count("*").alias("times"), F.bool_and(F.col("start") == F.col("due")).alias("chained"), F.first("n_tokens").alias("n_tokens"), F.first("n_documents").alias("n_documents"), F.first("root").alias("root"))
+    sound = F.expr("coalesce(times = 1 AND chained AND gapless AND n_tokens = f_tokens AND n_documents = f_documents AND root = f_root, false)") & F.lit(above)
+    own = own.withColumnsRenamed({"f_n_tokens": "f_tokens", "f_n_documents": "f_documents"})
+    return named.join(own, "part", "full").select("part", F.coalesce("before", F.lit(0)).alias("before"), F.col("f_root").isNotNull().alias("found"), sound.alias("sound"))
+
+
+def verify_store(spark: SparkSession, target: str, root: bytes | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, n_chunks, verified: read from the files, a row per stored document. root: what write_store() returned."""
     runtime.ship(spark)
 
     def check(batches):
@@ -211,13 +283,17 @@ def verify_store(spark: SparkSession, target: str) -> DataFrame:
 
     chunks = spark.read.schema(_WRITTEN).parquet(f"{target}/written").where("kind = 0").select("digest", "body").mapInArrow(check, "digest binary, n long, crc long, good boolean")
     recipes = spark.read.schema(_RECIPES).parquet(f"{target}/recipes")
-    manifest = spark.read.schema(_MANIFEST).parquet(f"{target}/manifest").select("part", F.col("start").alias("before"))
+    parts = runtime.cut(_checked(spark, target, root), "parts")
     used = recipes.select("part", "start", "root", "digests", "counts").mapInArrow(steps, "part int, at long, digest binary, n long, after long, rooted boolean")
-    found = used.join(chunks.withColumnRenamed("n", "stored"), "digest", "left")
-    found = found.select("part", "at", "n", "after", F.coalesce("crc", F.lit(0)).alias("crc"), F.expr("rooted AND coalesce(good AND stored = n, false)").alias("good"))
+    # a chunk that very many documents hold, like that of empty texts, is dealt over tasks
+    often = runtime.cut(used.groupBy("digest").agg(F.count("*").alias("n")).where(f"n > {runtime.LEAST_PART}"), "often")
+    found = runtime.meet(used, chunks.withColumnRenamed("n", "stored"), ["digest"], often, "at")
+    found = found.select("part", "at", "n", "after", "crc", F.expr("rooted AND coalesce(good AND stored = n, false)").alias("good"))
     whole = found.mapInArrow(shift, "part int, at long, n long, crc long, good boolean").groupBy("part", "at").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("n_chunks"), F.bool_and("good").alias("verified"))
-    out = recipes.select("doc_id", "part", F.col("start").alias("at"), "n_tokens").join(whole, ["part", "at"]).join(manifest, "part")
-    return out.select("doc_id", (F.col("before") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32", "n_chunks", F.expr("verified AND n = n_tokens").alias("verified"))
+    out = recipes.select("doc_id", "part", F.col("start").alias("at"), "n_tokens").join(whole, ["part", "at"], "left").join(parts.where("found"), "part")
+    out = out.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", F.coalesce("ids_crc32", F.lit(0)).alias("ids_crc32"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.expr("coalesce(sound AND verified AND n = n_tokens, false)").alias("verified"))
+    lost = parts.where("NOT found").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "before AS start", "0L AS n_tokens", "0L AS ids_crc32", "0L AS n_chunks", "false AS verified")
+    return out.union(lost)
 
 
 def read_documents(spark: SparkSession, target: str) -> DataFrame:
@@ -241,6 +317,8 @@ def read_documents(spark: SparkSession, target: str) -> DataFrame:
 
     runtime.ship(spark)
     chunks = spark.read.schema(_WRITTEN).parquet(f"{target}/written").where("kind = 0").select("digest", "body").mapInArrow(load, "digest binary, ids array<long>")
-    used = recipes.mapInArrow(steps, "part int, at long, doc_id long, k int, digest binary").join(chunks, "digest")
+    used = recipes.mapInArrow(steps, "part int, at long, doc_id long, k int, digest binary")
+    often = runtime.cut(used.groupBy("digest").agg(F.count("*").alias("n")).where(f"n > {runtime.LEAST_PART}"), "often")
+    used = runtime.meet(used, chunks, ["digest"], often, "at")
     whole = used.groupBy("part", "at").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.expr("transform(array_sort(collect_list(struct(k, ids))), x -> x.ids)")).alias("ids"))
     return whole.join(manifest, "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "ids")
