@@ -2,18 +2,23 @@
 
 Each text becomes a vector of transformed statistics: ln words, ln mean word length (shrunk towards PRIOR_LENGTH by
 PRIOR_WORDS words, so that ten words can't look odd), root of symbols per word and root of repeated words per word.
-The minimum-covariance-determinant estimate of a group starts at medians and quartiles and takes C-steps: the half of
-the group with the smallest Mahalanobis distances gives the next mean and covariance. After STEPS of them the
-estimate is made anew from all rows within REWEIGHT. Rows beyond CUTOFF are rejected. Variances have floors, as most
-texts have no symbols and no repeats at all.
+The minimum-covariance-determinant estimate of a group has one start, its medians and quartiles, and takes C-steps: the
+half of the group with the smallest Mahalanobis distances gives the next mean and covariance. The steps end when no half
+sample changes any more, or after MOST_STEPS. Then the estimate is made anew from all rows within REWEIGHT. Rows beyond
+CUTOFF are rejected. Variances have floors, as most texts have no symbols and no repeats at all.
 
-Groups are (lang, source); sources under POOL documents are pooled per language, languages under POOL into one
-pool, and pools under LEAST documents reject nothing. Everything is DataFrame functions: order statistics come from
-counts per fixed bin, moments from exact integer sums (fixed-point statistics), so groups of any size are pre-aggregated
-and a rerun gives the same bits.
+Groups are all documents, each language, and each language and source. Every document is judged by the estimate of its
+language and source, whatever its size: mean and covariance are drawn towards those of the language as if PRIOR_ROWS of
+its documents belonged to the group, and the language's towards those of all documents. So a source of one document is
+judged by its language, one of thousands by itself, and no number of documents switches from one to the other.
+
+Everything is DataFrame functions: order statistics come from counts per fixed bin, moments from exact integer sums
+(fixed-point statistics), so groups of any size are pre-aggregated and a rerun gives the same bits; the rows of a large
+group meet its estimate in parts dealt over tasks.
 
 Defined results: null or empty text has no words, fails the base rules and isn't kept; null lang or source is a group of
-its own; rows that repeat count as often as they occur; an empty table gives no rows.
+its own; rows that repeat count as often as they occur; an empty table gives no rows; where no document passes the base
+rules there is no estimate and nothing to keep; other columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -27,8 +32,9 @@ SCALE = 10_000
 PRIOR_WORDS, PRIOR_LENGTH = 50, 5.5
 #: Least standard deviation of each statistic.
 FLOORS = (0.5, 0.08, 0.06, 0.15)
-POOL, LEAST = 200, 20
-STEPS = 3
+#: Documents of the language (of all documents) that count beside the own ones of a source (a language).
+PRIOR_ROWS = 50.0
+MOST_STEPS = 8
 #: Squared distances: the 0.999 quantile of chi-square with 4 degrees of freedom; six standard deviations.
 REWEIGHT, CUTOFF = 18.47, 36.0
 #: A half sample's covariance is this much too small in 4 dimensions.
@@ -48,16 +54,18 @@ def base_statistics(docs: DataFrame, *keep: str, fence: bool = False) -> DataFra
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(_SPACE))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
     rows = docs.select(
         *keep,
-        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1)).alias("__w"),
-        F.length(F.translate(text, _SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        words.alias("__w"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
     )
-    n = F.size("__w")
-    windows = F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice("__w", i, 5)))).otherwise(F.array().cast("array<long>"))
-    rows = rows.select(*keep, n.cast("long").alias("n_words"), *_BASE[1:4], windows.alias("__h"))
+    # a window's hash is that of its words' hashes: each word is hashed once
+    rows = rows.select(*keep, F.size("__w").alias("__n"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"), *_BASE[2:4], F.transform("__w", lambda x: F.xxhash64(x)).alias("__x"))
+    five = lambda x, i: F.xxhash64(x, *(F.get("__x", i + k) for k in range(1, 5)))
+    windows = F.transform(F.slice("__x", 1, F.greatest(F.col("__n") - 4, F.lit(0))), five)
+    rows = rows.select(*keep, F.col("__n").cast("long").alias("n_words"), *_BASE[1:4], windows.alias("__h"))
     # only texts in which some window comes back are looked at further: by sorting, never by comparing all windows
     again = F.size(F.array_distinct("__h")) < F.size("__h")
     placed = F.when(again, F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -82,9 +90,10 @@ def _vector(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"x{i}": F.round(v * SCALE).cast("long") for i, v in enumerate(x)})
 
 
-def _place(kind: str) -> Column:
+def _keys() -> list[Column]:
+    """The groups of a row: all documents, its language, its language and source."""
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    return {"source": F.concat_ws("\n", named("lang"), named("source")), "lang": named("lang")}[kind]
+    return [F.lit("a"), F.concat(F.lit("l"), named("lang")), F.concat(F.lit("s"), F.concat_ws("\n", named("lang"), named("source")))]
 
 
 def _order_statistic(counts: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
@@ -132,11 +141,15 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
     for i, j in _PAIRS:
         c = F.col(f"s{i}{j}") / F.col("n") / (SCALE * SCALE) - F.col(f"m{i}") * F.col(f"m{j}")
         cov[i, j] = c * factor if i != j else F.greatest(c * factor, F.lit(0.0)) + F.lit(FLOORS[i] ** 2 / 4)
-    held = mean.select("key", *(f"m{i}" for i in range(_P)), *(cov[i, j].alias(f"c{i}{j}") for i, j in _PAIRS))
+    held = mean.select("key", "n", *(f"m{i}" for i in range(_P)), *(cov[i, j].alias(f"c{i}{j}") for i, j in _PAIRS))
     # a floor is reached by adding what is missing, so the matrix stays positive definite
-    held = held.withColumns({f"c{i}{i}": F.greatest(F.col(f"c{i}{i}"), F.lit(FLOORS[i] ** 2)) for i in range(_P)})
+    return held.withColumns({f"c{i}{i}": F.greatest(F.col(f"c{i}{i}"), F.lit(FLOORS[i] ** 2)) for i in range(_P)})
+
+
+def _inverted(est: DataFrame) -> DataFrame:
+    """The estimate with the inverse covariance v00 to v33 in place of the covariance."""
     inv = _inverse({(i, j): F.col(f"c{i}{j}") for i, j in _PAIRS})
-    return held.select("key", *(f"m{i}" for i in range(_P)), *(inv[p].alias(f"v{p[0]}{p[1]}") for p in _PAIRS))
+    return est.withColumns({f"v{i}{j}": inv[i, j] for i, j in _PAIRS}).drop(*(f"c{i}{j}" for i, j in _PAIRS))
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -152,39 +165,51 @@ def _start(rows: DataFrame) -> DataFrame:
     return out.withColumns({f"v{i}{j}": F.lit(0.0) for i, j in _PAIRS if i != j})
 
 
-class Estimate:
-    """Group keys and robust estimates, fitted on a table of statistics (not on texts)."""
-
-    def __init__(self, stats: DataFrame):
-        by_source = stats.groupBy(_place("source").alias("k1"), _place("lang").alias("k2")).agg(F.count("*").alias("c1"))
-        by_source = runtime.cut(by_source.withColumn("own", F.col("c1") >= POOL), "sources")
-        by_lang = by_source.where("NOT own").groupBy("k2").agg(F.sum("c1").alias("c2"))
-        pooled = by_source.join(by_lang, "k2", "left")
-        key = F.expr(f"CASE WHEN own THEN concat('s', k1) WHEN c2 >= {POOL} THEN concat('l', k2) ELSE 'a' END")
-        self.keys = runtime.cut(pooled.select(F.col("k1").alias("place"), key.alias("key")), "keys")
-        rows = runtime.cut(self.keyed(stats).select("key", *(f"x{i}" for i in range(_P))), "vectors")
-        large = rows.groupBy("key").count().where(f"count >= {LEAST}").select("key")
-        est = runtime.cut(_start(rows).join(large, "key"), "estimate")
-        for _ in range(STEPS):
-            d = rows.join(est, "key").withColumn("bin", F.least(F.floor(F.ln(1 + _distance()) * 200), F.lit(8191)))
-            half = _order_statistic(d.groupBy("key", "bin").agg(F.count("*").alias("n")), ["key"], {"edge": 0.5})
-            est = runtime.cut(_moments(d.join(half, "key").where("bin <= edge"), HALF), "estimate")
-        near = rows.join(est, "key").where(_distance() <= REWEIGHT)
-        self.estimate = runtime.cut(_moments(near, 1.0), "estimate")
-
-    def keyed(self, stats: DataFrame) -> DataFrame:
-        return _vector(stats).withColumn("place", _place("source")).join(self.keys, "place")
-
-    def judged(self, stats: DataFrame) -> DataFrame:
-        """stats with base_failed, distance2 (null in groups too small) and kept; every row of stats stays."""
-        out = _vector(stats).withColumn("place", _place("source")).join(self.keys, "place", "left").join(self.estimate, "key", "left")
-        return out.withColumns({"base_failed": base_failed(), "distance2": _distance()}).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
+def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a table of statistics (not of texts): the groups' estimates (place, m0 to m3, v00 to v33), and their sizes (place, n), both stored."""
+    sizes = runtime.cut(stats.groupBy(*(k.alias(f"k{i}") for i, k in enumerate(_keys()))).agg(F.count("*").alias("n")), "groups")
+    each = F.explode(F.array(*_keys())).alias("key")
+    rows = runtime.cut(_vector(stats.where(~base_failed())).select(each, *(f"x{i}" for i in range(_P))), "vectors")
+    weights = runtime.cut(rows.groupBy("key").agg(F.count("*").alias("n")), "weights")
+    beside = lambda est: runtime.meet(rows, est, ["key"], weights, "x0")
+    est, state = runtime.cut(_start(rows), "estimate"), None
+    for _ in range(MOST_STEPS):
+        d = beside(est).withColumn("bin", F.least(F.floor(F.ln(1 + _distance()) * 200), F.lit(8191)))
+        half = _order_statistic(d.groupBy("key", "bin").agg(F.count("*").alias("n")), ["key"], {"edge": 0.5})
+        near = beside(est.join(half, "key")).withColumn("bin", F.least(F.floor(F.ln(1 + _distance()) * 200), F.lit(8191))).where("bin <= edge")
+        after = runtime.cut(_inverted(_moments(near, HALF)).drop("n"), "estimate")
+        runtime.drop(est)
+        est, before = after, state
+        # exact sums give equal bits for equal half samples
+        state = est.agg(F.sum(F.xxhash64("key", *(f"m{i}" for i in range(_P)), *(f"v{i}{j}" for i, j in _PAIRS)).cast("decimal(38,0)"))).first()[0]
+        if state == before:
+            break
+    own = runtime.cut(_moments(beside(est).where(_distance() <= REWEIGHT), 1.0), "moments")
+    numbers = [f"m{i}" for i in range(_P)] + [f"c{i}{j}" for i, j in _PAIRS]
+    out = sizes.select("k0", "k1", F.col("k2").alias("place"))
+    for level, key in enumerate(("k0", "k1", "place")):
+        # three tables of one row per group
+        out = out.join(own.select(F.col("key").alias("__key"), *(F.col(c).alias(f"o_{c}") for c in ["n", *numbers])), F.col(key) == F.col("__key"), "left").drop("__key")
+        weight = F.coalesce(F.col("o_n"), F.lit(0)) / (F.coalesce(F.col("o_n"), F.lit(0)) + PRIOR_ROWS) if level else F.lit(1.0)
+        drawn = {c: F.when(F.col("o_n").isNull(), F.col(c)).otherwise(weight * F.col(f"o_{c}") + (1 - weight) * F.col(c)) if level else F.col(f"o_{c}") for c in numbers}
+        out = out.withColumns(drawn).drop("o_n", *(f"o_{c}" for c in numbers))
+    out = runtime.cut(_inverted(out).drop("k0", "k1"), "estimate")
+    for t in (rows, weights, est, own):
+        runtime.drop(t)
+    return out, sizes.select(F.col("k2").alias("place"), "n")
+
+
+def judged(stats: DataFrame) -> DataFrame:
+    """stats with base_failed, distance2 (null where there is no estimate) and kept; every row of stats stays."""
+    estimate, sizes = fit(stats)
+    out = runtime.meet(_vector(stats).withColumn("place", _keys()[2]), estimate, ["place"], sizes, "x0")
+    return out.withColumns({"base_failed": base_failed(), "distance2": _distance()}).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2 per row of docs."""
     stats = runtime.cut(base_statistics(docs, "doc_id", "lang", "source"), "stats")
-    return Estimate(stats.where(~base_failed())).judged(stats).select(F.col("doc_id").cast("long").alias("doc_id"), *_BASE, "base_failed", "kept", "distance2")
+    return judged(stats).select(F.col("doc_id").cast("long").alias("doc_id"), *_BASE, "base_failed", "kept", "distance2")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -196,4 +221,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*docs.columns).alias("__row"), "text", "lang", "source")
     stats = base_statistics(packed, "__row", "lang", "source", fence=True)
     stats = runtime.cut(stats.where(~base_failed() & (F.col("__fence") >= 0)).drop("__fence"), "stats")
-    return Estimate(stats).judged(stats).where("kept").select("__row.*")
+    return judged(stats).where("kept").select("__row.*")
