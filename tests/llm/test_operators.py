@@ -95,7 +95,7 @@ def components(texts, k, percent):
 def test_jaccard_components(docs, texts, k, percent, limit):
     near = [(20_000 + i, " ".join(f"w{j if (j * 7 + i) % 40 else j + 1000 * i}" for j in range(120)), "en", "s") for i in range(12)]
     more = docs.sparkSession.createDataFrame([(d, t) for d, t, *_ in near], "doc_id long, text string")
-    out = jaccard_join.jaccard_components(docs.select("doc_id", "text").union(more), k, percent, region_rows=limit, slot_bits=20)
+    out = jaccard_join.jaccard_components(docs.select("doc_id", "text").union(more), k, percent, region_rows=limit)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == components([*texts, *near], k, percent)
 
 
