@@ -513,6 +513,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, region_ro
         found = found.join(name.withColumnRenamed("d", "x"), F.col("a") == F.col("row")).drop("row").join(name.withColumnRenamed("d", "y"), F.col("b") == F.col("row"))
         links = links.union(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
     comp = runtime.connected_components(links)
+    runtime.drop(point, equal, regions, size, members)
     nodes = each.select("doc_id", F.col("n").alias("n_shingles")).join(comp, F.col("doc_id") == F.col("node"), "left")
     nodes = nodes.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     nameless = docs.where("doc_id IS NULL")

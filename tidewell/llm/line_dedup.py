@@ -9,8 +9,8 @@ later document. That is the default of dedup_lines(). With every=True, which the
 deleted if any earlier document aligns it and its lines have MIN_WORDS words together (two characters of a script without
 spaces count as a word), or if the lines of both texts are equal as a whole. Alignments are judged on the input, not on what other pairs leave.
 
-Defined results: null text stays null and has no lines; empty lines never anchor, but go with the block they lie in; rows
-without a doc_id stay as they are; rows that repeat a doc_id aren't compared with each other; ties can't occur, as equal
+Defined results: null text stays null and has no lines; empty lines belong to no sequence and always stay, also between
+lines that go; an empty table gives no rows; other columns of docs may have any names and stay; rows without a doc_id stay as they are; rows that repeat a doc_id aren't compared with each other; ties can't occur, as equal
 texts of one doc_id change alike. A document that loses all its words keeps its row in dedup_lines() (empty text).
 """
 

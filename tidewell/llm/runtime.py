@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,10 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own if the master is local, else an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_base:
         _own_base[app] = "file://" + tempfile.mkdtemp(prefix="tidewell-")
@@ -52,21 +55,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors. It goes with the application, or by drop()."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    p, fs = _file(df.sparkSession, path)
+    fs.deleteOnExit(p)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidewell_path = path
     return out
 
 
-def drop(df: DataFrame | None) -> None:
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop(*tables: DataFrame | None) -> None:
     """Delete what cut() wrote, when nothing will read it again."""
-    path = getattr(df, "_tidewell_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for df in tables:
+        path = getattr(df, "_tidewell_path", None)
+        if path:
+            p, fs = _file(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def meet(rows: DataFrame, points: DataFrame, on: list[str], weights: DataFrame, spread: str) -> DataFrame:
