@@ -160,7 +160,7 @@ def removed(texts, window=20):
 
 @pytest.mark.parametrize("batches", [1, 3])
 def test_substring_dedup(docs, texts, batches):
-    out = substring_dedup.remove_repeats(docs, batches=batches, slot_bits=20)
+    out = substring_dedup.remove_repeats(docs, batches=batches)
     assert {r.doc_id: tuple(r)[1:] for r in out.collect()} == removed(texts)
     assert substring_dedup.remove_repeats(empty(docs)).count() == 0
 

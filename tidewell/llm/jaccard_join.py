@@ -13,8 +13,8 @@ can't tell them apart; so the space is first split exactly, and pivots find the
 2. Pivots inside a region: the members go to the Voronoi cells of far-apart pivots, and to every other cell whose
    pivot is within 2 * eps of their nearest (triangle inequality), so a linked pair meets in a cell; cells are
    joined recursively. Members within eps of a pivot are linked through it. Where cells don't shrink (dense groups), every
-   member outside the largest component becomes a pivot in turn, against those that the triangle inequality leaves. Only
-   LEAF sets or fewer are compared with each other directly.
+   member outside the largest component becomes a pivot in turn, against those that the triangle inequality leaves. No
+   other comparison is made, also in a region of two.
 3. A region beyond REGION_ROWS or REGION_SHINGLES isn't given to one task: the same steps are taken over a table, its
    members in parts of LARGE_PART rows, its pivots sent to each part, until its cells fit or don't shrink any more.
 
@@ -44,7 +44,6 @@ REGION_ROWS = 200
 REGION_SHINGLES = 4_000_000
 #: Rows of a large region that meet its pivots in one task.
 LARGE_PART = 200
-LEAF = 3
 PIVOTS = 8
 #: Documents for each bucket of the signature exchange.
 BUCKET_DOCS = 1500
@@ -199,9 +198,7 @@ class Region:
     def solve(self, idx: np.ndarray | None = None) -> np.ndarray:
         """The root of each row's component. pivots, cells, replicas, links count what the pivots did."""
         idx = np.arange(len(self.n)) if idx is None else idx
-        if len(idx) <= LEAF:
-            for k in range(len(idx) - 1):
-                self.distances(int(idx[k]), idx[k + 1 :])
+        if len(idx) < 2:
             return self.union.roots()
         pivots, d = [int(idx[0])], [self._pivot(int(idx[0]), idx)]
         while len(pivots) < PIVOTS:
