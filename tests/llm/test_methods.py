@@ -150,7 +150,7 @@ def test_pivots_make_the_links(medium, k, percent):
         sets.append(np.unique(np.concatenate([own[:150], groups[(g + 1) % 6][150:]])).astype(np.uint64))
         for i in range(24):
             x = own.copy()
-            x[rng.integers(0, 300, 2 * i)] = 100_000 * (g + 1) + 1000 * i + rng.integers(0, 900, 2 * i)
+            x[rng.integers(0, 300, i)] = 100_000 * (g + 1) + 1000 * i + rng.integers(0, 900, i)
             sets.append(np.unique(x).astype(np.uint64))
     r = jaccard_join.Region(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), percent)
     root = r.solve()

@@ -15,8 +15,9 @@ can't tell them apart; so the space is first split exactly, and pivots find the
    joined recursively. Members within eps of a pivot are linked through it. Where cells don't shrink (dense groups), every
    member outside the largest component becomes a pivot in turn, against those that the triangle inequality leaves. No
    other comparison is made, also in a region of two.
-3. A region beyond REGION_ROWS or REGION_SHINGLES isn't given to one task: the same steps are taken over a table, its
-   members in parts of LARGE_PART rows, its pivots sent to each part, until its cells fit or don't shrink any more.
+3. A region beyond REGION_ROWS or REGION_SHINGLES isn't given to one task: it is split once more by common rare shingles
+   (of the region's own counts), and then the same steps as in 2 are taken over a table, its members in parts of
+   LARGE_PART rows, its pivots sent to each part, until its cells fit or don't shrink any more.
 
 Equal sets are one point, whatever their number; every comparison counts exact set sizes of 64-bit shingle hashes.
 
@@ -40,7 +41,7 @@ from . import kernels as K
 from . import runtime
 
 #: Bounds of what one task joins; larger regions are joined as tables, with the same result.
-REGION_ROWS = 200
+REGION_ROWS = 500
 REGION_SHINGLES = 4_000_000
 #: Rows of a large region that meet its pivots in one task.
 LARGE_PART = 200
@@ -376,6 +377,31 @@ def _shingle_rows(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return runtime.cut(rows.where("size(s) > 0").withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
+def _refine(sets: DataFrame, percent: int) -> DataFrame:
+    """sets (region, doc_id, s), their regions split again: a link needs a common shingle among the first of both, rarest of the region first.
+
+    Of a set's n shingles the first n - ceil(n * percent / 100) + 1 count, less those that no other member has. So
+    members that share only what nearly all share part here. The counts are exact and of the region alone; they are
+    combined before the shuffle, and rows of very common shingles are dealt over tasks. Unlinked members go.
+    """
+    on = ["region", "x"]
+    items = sets.select("region", "doc_id", F.size("s").alias("size"), F.explode("s").alias("x"))
+    counts = runtime.cut(items.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    known = runtime.meet(items, counts.withColumnRenamed("n", "times"), on, counts, "doc_id")
+    # what no other set has comes first in the order, and isn't looked at
+    rows = known.groupBy("region", "doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("times", "x"))).alias("l"))
+    first = F.expr(f"slice(l, 1, greatest(0, size(l) + 1 - CAST(ceil(size * {percent} / 100) AS INT)))")
+    prefix = runtime.cut(rows.select("region", "doc_id", F.explode(first).alias("e")).select("region", "doc_id", "e.x"), "prefix")
+    heads = prefix.groupBy(*on).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("least < last")
+    heads = runtime.cut(heads.drop("last"), "heads")
+    stars = runtime.meet(prefix, heads.drop("n"), on, heads.drop("least"), "doc_id")
+    parts = runtime.connected_components(stars.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    out = sets.drop("region").join(parts, F.col("doc_id") == F.col("node")).select(F.col("component").alias("region"), "doc_id", "s")
+    out = runtime.cut(out, "refined")
+    runtime.drop(counts, prefix, heads, parts)
+    return out
+
+
 def _dealt(sets: DataFrame) -> DataFrame:
     """(cell, doc_id, s, part): the members of each cell in parts of LARGE_PART rows or REGION_SHINGLES shingles, about; part counts from 0 in parts."""
     sizes = runtime.cut(sets.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("shingles")), "sizes")
@@ -412,12 +438,20 @@ def _links(eps: float):
 def _join_large(sets: DataFrame, percent: int, region_rows: int, region_shingles: int) -> DataFrame:
     """Links (a, b) of regions too large for a task; sets: region, doc_id (one row each), s."""
     eps = 1 - percent / 100 + 1e-9
-    sets = runtime.cut(sets.select(F.col("region").alias("cell"), "doc_id", "s"), "sets")
-    links = []
+    sets, links = _refine(sets, percent).select(F.col("region").alias("cell"), "doc_id", "s"), []
+    fits = F.expr(f"n <= {region_rows} AND shingles <= {region_shingles}")
     while True:
+        size = runtime.cut(sets.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("shingles")).where("n > 1"), "sizes")
+        links.append(runtime.cut(_solve(sets.join(size.where(fits), "cell", "left_semi").select("cell", "doc_id", "s"), "cell", percent, _flat), "links"))
+        if size.where(~fits).isEmpty():
+            out = links[0]
+            for x in links[1:]:
+                out = out.union(x)
+            return out
+        sets = sets.join(size.where(~fits), "cell", "left_semi")
         members = _dealt(sets)
         # the pivots of a cell: its members of least hash, a sample that doesn't depend on the order
-        least = _least(members, PIVOTS)
+        least = _least(members.withColumn("size", F.size("s")), PIVOTS)
         pivots = runtime.cut(members.join(least, ["cell", "doc_id"], "left_semi").select("cell", F.col("doc_id").alias("p"), F.col("s").alias("ps")), "pivots")
 
         def cells(cell, ids, own, d, eps=eps):
@@ -438,35 +472,28 @@ def _join_large(sets: DataFrame, percent: int, region_rows: int, region_shingles
             links.append(_join_dense(dense, percent))
         moved = found.where("NOT link").join(shrunk.where("shrunk"), "cell", "left_semi").select("cell", F.col("a").alias("doc_id"), F.xxhash64("cell", "b").alias("next"))
         sets = runtime.cut(moved.join(members.select("cell", "doc_id", "s"), ["cell", "doc_id"]).select(F.col("next").alias("cell"), "doc_id", "s"), "sets")
-        size = runtime.cut(sets.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("shingles")).where("n > 1"), "sizes")
-        fits = F.expr(f"n <= {region_rows} AND shingles <= {region_shingles}")
-        small = sets.join(size.where(fits), "cell", "left_semi")
-        if not small.isEmpty():
-            links.append(runtime.cut(_solve(small.select("cell", "doc_id", "s"), "cell", percent, _flat), "links"))
-        if size.where(~fits).isEmpty():
-            out = links[0]
-            for x in links[1:]:
-                out = out.union(x)
-            return out
-        sets = sets.join(size.where(~fits), "cell", "left_semi")
 
 
 def _least(members: DataFrame, n: int, turn: int = 0) -> DataFrame:
-    """(cell, doc_id): about n members of each cell of least hash, one at least; no cell is sorted as a whole."""
+    """(cell, doc_id): about n members of each cell of least hash, one at least and REGION_SHINGLES shingles at most, about; no cell is sorted as a whole."""
     x = F.pmod(F.xxhash64(F.lit(turn), "doc_id"), F.lit(1 << 40))
-    low = members.groupBy("cell").agg(F.count("*").alias("waiting"), F.min(x).alias("low"))
-    return members.join(low, "cell").withColumn("x", x).where(F.expr(f"x = low OR waiting <= {n} OR x < {n} * {1 << 40} / waiting")).select("cell", "doc_id").distinct()
+    low = members.groupBy("cell").agg(F.count("*").alias("waiting"), F.min(x).alias("low"), F.sum("size").alias("shingles"))
+    low = low.withColumn("most", F.expr(f"least({n}, {REGION_SHINGLES} * waiting / shingles)"))
+    return members.join(low, "cell").withColumn("x", x).where(F.expr(f"x = low OR waiting <= most OR x < most * {1 << 40} / waiting")).select("cell", "doc_id").distinct()
 
 
 def _join_dense(members: DataFrame, percent: int, pivots: int = 64) -> DataFrame:
-    """Cells that pivots don't split: pivots against all members, until only the largest component has members that weren't one."""
+    """Cells that pivots don't split: pivots against all members, until only the largest component has members that weren't one.
+
+    Each round takes four times as many pivots as the one before, so their number grows with the rounds' power.
+    """
     members = runtime.cut(members.select("cell", "doc_id", "s", "part", "parts"), "dense")
     used, links, turn = None, None, 1
     while True:
-        state = members.select("cell", "doc_id")
+        state = members.select("cell", "doc_id", F.size("s").alias("size"))
         if links is not None:
             comp = runtime.connected_components(links)
-            state = state.join(comp, F.col("doc_id") == F.col("node"), "left").select("cell", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+            state = state.join(comp, F.col("doc_id") == F.col("node"), "left").select("cell", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
             counts = state.groupBy("cell", "component").count()
             big = counts.groupBy("cell").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("big"))
             state = state.join(big, "cell").where("component <> big").join(used, ["cell", "doc_id"], "left_anti")
@@ -477,7 +504,7 @@ def _join_dense(members: DataFrame, percent: int, pivots: int = 64) -> DataFrame
         p = members.join(chosen, ["cell", "doc_id"], "left_semi").select("cell", F.col("doc_id").alias("p"), F.col("s").alias("ps"))
         found = runtime.cut(_beside(members, p, percent, "a long, b long", _links(1 - percent / 100 + 1e-9)), "links")
         links = found if links is None else links.union(found)
-        turn += 1
+        turn, pivots = turn + 1, pivots * 4
 
 
 def _sized(rows: DataFrame, size: DataFrame) -> DataFrame:
