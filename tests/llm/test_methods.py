@@ -203,7 +203,10 @@ def removed(rows, window=20):
     return out
 
 
-def test_index_takes_batch_after_batch(spark, corpus):
+@pytest.mark.parametrize("sample, often", [(64, 32), (1, 2)])
+def test_index_takes_batch_after_batch(spark, corpus, monkeypatch, sample, often):
+    monkeypatch.setattr(substring_dedup, "SAMPLE", sample)
+    monkeypatch.setattr(substring_dedup, "OFTEN", often)
     passage = " ".join(f"passage{i}" for i in range(70))
     rows = [(d, t) for d, t, *_ in corpus] + [(5000 + i, f"own{i} " * 25 + passage + f" tail{i}" * i) for i in range(12)]
     rows += [(6000, "a b " * 30), (6001, "a b " * 30 + "c"), (6002, None), (6003, "")]

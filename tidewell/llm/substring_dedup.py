@@ -16,6 +16,10 @@ repeats() settles claims and places from the texts: the windows at the places ar
 diagonal are put together, and every claim is verified: the words of both places are read again from the texts and
 have to have equal 160-bit blake2b digests. A claim that fails is dropped. One exchange of the texts serves all of this.
 
+A fingerprint that very many documents hold, each among words of its own, would fill one bucket. Such fingerprints are
+found on a sample of the batch (one document in SAMPLE; those in more than a thousandth of it, so they are few) and are
+dealt by the hash of all words; their places are always looked at. The sample decides where rows go, never a result.
+
 Inside a task, equal entries meet before the exchange, so a passage that fills a third of all documents sends one row per
 task and not one per document.
 
@@ -45,6 +49,7 @@ FAN = 4
 BATCHES = 2
 BUCKET_DOCS = 1500
 GATHER = 400_000
+SAMPLE, OFTEN = 64, 32
 _NONE = -(1 << 63)
 _NEW, _CLAIM, _PLACE, _RUN = range(4)
 _COLUMNS = ("h", "c", "doc", "pos", "n", "src", "at")
@@ -107,6 +112,32 @@ def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> K.U(32)) * K.U(buckets) >> K.U(32)).astype(np.int64)
 
 
+def _entry_rows(kind: int, buckets: int, hot: np.ndarray, h, c, doc, pos, n) -> Iterator[tuple]:
+    """Packed entries, dealt by fingerprint, those of a hot one by all words; sorted as they come."""
+    b = _bucket_of(h, buckets)
+    often = np.isin(h, hot)
+    b[often] = _bucket_of(K.mix(c[often]), buckets)
+    o = np.argsort(b, kind="stable")
+    return _packed(kind, b[o], h=h[o], c=c[o], doc=doc[o], pos=pos[o], n=n[o])
+
+
+def hot_fingerprints(docs: DataFrame, window: int) -> np.ndarray:
+    """Fingerprints in OFTEN or more sampled documents and in over a thousandth of them, ascending."""
+
+    def scan(batches):
+        for batch in batches:
+            for _, _, buf, offs in K.slices(batch.column(0)):
+                w = K.Words(buf, offs, K.WHITE, False)
+                h, _, start, _ = entries(w, window)
+                doc, h = K.distinct_by_doc(w.doc[start], h)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    sample = docs.where(f"pmod(xxhash64(doc_id), {SAMPLE}) = 0")
+    least = max(OFTEN, sample.count() // 1000)
+    rows = sample.select("text").mapInArrow(scan, "h long").groupBy("h").agg(F.count("*").alias("n")).where(f"n >= {least}").select("h").collect()
+    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+
+
 def _claims(doc, pos, n, src, at, buckets: int) -> Iterator[tuple]:
     b = (K.mix(doc.view(np.uint64)) % K.U(buckets)).astype(np.int64)
     o = np.lexsort((pos, doc, b))
@@ -120,7 +151,7 @@ def _leads(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
-def _scan(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+def _scan(docs: DataFrame, window: int, buckets: int, hot: np.ndarray) -> DataFrame:
     def flush(parts) -> pa.RecordBatch:
         h, c, doc, pos, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         o = np.lexsort((pos, doc, c, h))
@@ -128,7 +159,7 @@ def _scan(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         new, lead = _leads(h, c)
         later = (doc != doc[lead]) | (pos != pos[lead])
         rows = list(_claims(doc[later], pos[later], n[later], doc[lead][later], pos[lead][later], buckets))
-        rows += _packed(_NEW, _bucket_of(h[new], buckets), h=h[new], c=c[new], doc=doc[new], pos=pos[new], n=n[new])
+        rows += _entry_rows(_NEW, buckets, hot, h[new], c[new], doc[new], pos[new], n[new])
         return _batch(rows)
 
     def scan(batches):
@@ -150,19 +181,19 @@ def _scan(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(scan, _ROW)
 
 
-def _dealt(run: DataFrame, buckets: int) -> DataFrame:
+def _dealt(run: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """A run's rows, cut where the buckets of a larger index begin."""
 
     def deal(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 own = {c: K.unpack(r[c], _TYPES[c]) for c in _COLUMNS[:5]}
-                yield _batch(list(_packed(_RUN, _bucket_of(own["h"], buckets), **own)))
+                yield _batch(list(_entry_rows(_RUN, buckets, hot, **own)))
 
     return run.where(f"kind = {_RUN}").mapInArrow(deal, _ROW)
 
 
-def _merge_join(rows: DataFrame, buckets: int) -> DataFrame:
+def _merge_join(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Bucket by bucket, a batch's entries against the runs: claims, places and the batch's own run."""
 
     def merge(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +205,6 @@ def _merge_join(rows: DataFrame, buckets: int) -> DataFrame:
                 else:
                     (new if r["kind"] == _NEW else runs).append(r)
         h, c, doc, pos, n = _read(new, _COLUMNS[:5])
-        if not len(h):
-            return
         o = np.lexsort((pos, doc, c, h))
         h, c, doc, pos, n = h[o], c[o], doc[o], pos[o], n[o]
         out, lead = _leads(h, c)
@@ -186,8 +215,12 @@ def _merge_join(rows: DataFrame, buckets: int) -> DataFrame:
         met = []
         for r in runs:
             own = _read([r], _COLUMNS[:5])
-            at = np.searchsorted(h, own[0])
-            met.append([x[(at < len(h)) & (h[np.minimum(at, len(h) - 1)] == own[0])] for x in own])
+            # what the batch holds of a hot fingerprint may be in any bucket
+            keep = np.isin(own[0], hot)
+            if len(h):
+                at = np.searchsorted(h, own[0])
+                keep |= (at < len(h)) & (h[np.minimum(at, len(h) - 1)] == own[0])
+            met.append([x[keep] for x in own])
         old = [np.concatenate(x) for x in zip(*met, strict=True)] if met else [x[:0] for x in (h, c, doc, pos, n)]
         # old entries before new ones: where all words are known, the batch's entry is a claim
         age = np.concatenate([np.zeros(len(old[0]), bool), np.ones(len(h), bool)])
@@ -200,7 +233,7 @@ def _merge_join(rows: DataFrame, buckets: int) -> DataFrame:
         h, c, doc, pos, n, age = (x[first] for x in (h, c, doc, pos, n, age))
         # a fingerprint that several entries have, one of them new: their windows have to be looked at
         group = np.cumsum(_leads(h)[0]) - 1 if len(h) else np.zeros(0, np.int64)
-        look = (np.bincount(group) > 1)[group] & (np.bincount(group, age) > 0)[group]
+        look = (np.bincount(group) > 1)[group] & (np.bincount(group, age) > 0)[group] | np.isin(h, hot)
         if look.any():
             rows.append((_PLACE, key[0].as_py(), None, None, K.pack(doc[look]), K.pack(pos[look]), K.pack(n[look]), None, None))
         rows += _packed(_RUN, np.full(int(age.sum()), key[0].as_py()), h=h[age], c=c[age], doc=doc[age], pos=pos[age], n=n[age])
@@ -210,7 +243,7 @@ def _merge_join(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(merge, _ROW)
 
 
-def _compacted(runs: list[DataFrame], buckets: int) -> DataFrame:
+def _compacted(runs: list[DataFrame], buckets: int, hot: np.ndarray) -> DataFrame:
     """One run of several. Their entries differ, so they are only brought into one order."""
 
     def merge(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +251,9 @@ def _compacted(runs: list[DataFrame], buckets: int) -> DataFrame:
         o = np.lexsort((c, h))
         yield _batch(list(_packed(_RUN, np.full(len(h), key[0].as_py()), h=h[o], c=c[o], doc=doc[o], pos=pos[o], n=n[o])))
 
-    rows = _dealt(runs[0], buckets)
+    rows = _dealt(runs[0], buckets, hot)
     for r in runs[1:]:
-        rows = rows.union(_dealt(r, buckets))
+        rows = rows.union(_dealt(r, buckets, hot))
     return runtime.cut(rows.groupBy("bucket").applyInArrow(merge, _ROW), "run")
 
 
@@ -236,6 +269,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, window: int = WINDOW, fan: int = FAN):
         self.spark, self.window, self.fan, self.n_docs = spark, window, fan, 0
         self.runs: list[Run] = []
+        self.hot = np.zeros(0, np.uint64)
 
     def add(self, docs: DataFrame) -> DataFrame:
         """What the batch has in common with itself and with all earlier ones, for repeats(); the index then knows the batch."""
@@ -243,10 +277,12 @@ class FingerprintIndex:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.n_docs += docs.count()
         buckets = max(16, self.n_docs // BUCKET_DOCS)
-        rows = _scan(docs, self.window, buckets)
+        hot = hot_fingerprints(docs, self.window)
+        self.hot = np.union1d(self.hot, hot)
+        rows = _scan(docs, self.window, buckets, hot)
         for r in self.runs:
-            rows = rows.union(_dealt(r.rows, buckets))
-        found = runtime.cut(_merge_join(rows, buckets), "run")
+            rows = rows.union(_dealt(r.rows, buckets, hot))
+        found = runtime.cut(_merge_join(rows, buckets, hot), "run")
         self.runs.append(Run(0, found))
         self.compact(buckets)
         return found.where(f"kind <> {_RUN}")
@@ -255,7 +291,7 @@ class FingerprintIndex:
         """Tier by tier: as soon as there are fan runs of a tier they become one of the next."""
         tier = 0
         while len(own := [r for r in self.runs if r.tier == tier]) >= self.fan:
-            merged = Run(tier + 1, _compacted([r.rows for r in own], buckets))
+            merged = Run(tier + 1, _compacted([r.rows for r in own], buckets, self.hot))
             self.runs = [r for r in self.runs if r.tier != tier] + [merged]
             tier += 1
 
