@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,28 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 def test_stream_refuses_what_it_cannot_do_whole(sql):
     with pytest.raises(DialectError, match="a stream"):
         Engine(None, None).stream(sql, print)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_over_many_cells(spark, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    times = sorted(int(x) for x in np.concatenate([rng.integers(0, 3000, 150), rng.integers(5000, 5050, 120), [700] * 60, rng.integers(9000, 9100, 20)]))
+    df = stream(spark, times).repartition(5)
+    monkeypatch.setattr(windows, "CELL_ROWS", 12)
+    monkeypatch.setattr(windows, "GROUP", 3)
+    assert [r.id for r in windows.global_rank(df, "time", "id").orderBy("rn").collect()] == list(range(len(times)))
+    assert windows.global_rank(df.withColumn("__cell", F.lit(1)).withColumn("rn", F.lit(2)), "time", "id", "at").columns == ["time", "id", "v", "__cell", "rn", "at"]
+    for size in (3, 40, 211, 4000):
+        for closed in (False, True):
+            want, end = [], None
+            for t in times:
+                if end is None or t > end or t == end and not closed:
+                    want.append(t)
+                    end = t + size
+            got = windows.time_boundaries(df, size, "time", closed).orderBy("window_id").collect()
+            assert [tuple(r) for r in got] == list(enumerate(want)), (size, closed)
+            assert windows.time_boundaries(df, size, "time", closed, emit_partial=False).count() == len(want) - 1
+    rows, out = windows.panes(df, "count", 30, 20, "time", "id")
+    got = {r.window_id: r.n for r in out(rows.groupBy("pane").agg(F.sum("id").alias("n"))).groupBy("window_id").agg(F.sum("n").alias("n")).collect()}
+    assert got == {k: sum(range(20 * k, 20 * k + 30)) for k in range((len(times) - 30) // 20 + 1)}
+    assert windows.count_windows(df.withColumn("rn", F.lit(5)), 10, "time", "id").where("rn = 5").count() == len(times) // 10 * 10

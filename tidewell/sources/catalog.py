@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,13 @@ class UnknownEvent(ValueError):
 
 def micros(ts: str) -> Column:
     """A zone-less timestamp as microseconds since the epoch, whatever the session's zone."""
-    t = f"CAST({ts} AS TIMESTAMP_NTZ)"
-    day = f"CAST(datediff(CAST({t} AS DATE), DATE'1970-01-01') AS BIGINT) * 86400000000"
-    return F.expr(f"{day} + CAST(hour({t}) * 3600 + minute({t}) * 60 AS BIGINT) * 1000000 + CAST(extract(SECOND FROM {t}) * 1000000 AS BIGINT)")
+    return F.expr(f"CAST(CAST(CAST(CAST({ts} AS TIMESTAMP_NTZ) - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND) AS DECIMAL(20, 6)) * 1000000 AS BIGINT)")
+
+
+def timestamp_literal(us: int) -> str:
+    """Microseconds since the epoch as a zone-less timestamp literal, which Parquet readers can compare with their statistics."""
+    t = datetime(1970, 1, 1) + timedelta(microseconds=us)
+    return f"TIMESTAMP_NTZ'{t.isoformat(sep=' ', timespec='microseconds')}'"
 
 
 def kernel_schema(name: str) -> T.StructType:
@@ -43,14 +48,17 @@ class Event:
     load: Callable[[SparkSession], DataFrame]
     time: str = "time"
     tie: str | None = None
+    #: Column of the stored timestamp that time is derived from, and a loader that takes a predicate on it.
+    stamp: str | None = None
+    load_where: Callable[[SparkSession, str], DataFrame] | None = None
 
 
 class Catalog:
     def __init__(self) -> None:
         self._events: dict[str, Event] = {}
 
-    def add(self, name: str, load: Callable[[SparkSession], DataFrame], time: str = "time", tie: str | None = None) -> "Catalog":
-        self._events[name] = Event(name, load, time, tie)
+    def add(self, name: str, load: Callable[[SparkSession], DataFrame], time: str = "time", tie: str | None = None, stamp: str | None = None, load_where: Callable[[SparkSession, str], DataFrame] | None = None) -> "Catalog":
+        self._events[name] = Event(name, load, time, tie, stamp, load_where)
         return self
 
     def add_files(self, name: str, path: str, form: str = "parquet", time: str = "time", tie: str | None = None, schema: T.StructType | None = None, stream: bool = False, **options) -> "Catalog":
@@ -71,15 +79,20 @@ class Catalog:
         raise UnknownEvent(f"no event {name!r}; known: {sorted(self._events)}")
 
 
-def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream: event_id, time (microseconds), user_id, event_type, value and v (value truncated)."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def load_events(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """The events table as a stream: event_id, time (microseconds), user_id, event_type, value and v (value truncated); where: on stored columns."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(where)
     return e.select("event_id", micros("ts").alias("time"), "user_id", "event_type", "value", F.col("value").cast("bigint").alias("v"))
 
 
 def tables(sf_dir: str) -> Catalog:
-    """A catalog with the events table, under its own name and as the stand-in of a kernel event."""
+    """A catalog with the events table, under its own name and as the stand-in of a kernel event, with its system attributes."""
     c = Catalog()
-    c.add("events", lambda s: load_events(s, sf_dir), "time", "event_id")
-    stand_in = lambda s: load_events(s, sf_dir).select("event_id", "time", F.col("user_id").alias("pid"), F.col("event_type").alias("fd"), F.col("v").alias("count"))
-    return c.add("syscalls/sys_enter_pread64", stand_in, "time", "event_id")
+    c.add("events", lambda s: load_events(s, sf_dir), "time", "event_id", "ts", lambda s, w: load_events(s, sf_dir, w))
+
+    def stand_in(s: SparkSession, w: str = "true") -> DataFrame:
+        e = load_events(s, sf_dir, w)
+        system = (F.col("user_id").alias("pid"), (F.col("user_id") * 10).alias("tgid"), F.expr("pmod(event_id, 4)").alias("cpu"), F.concat(F.lit("task"), F.expr("user_id % 7")).alias("comm"), F.expr("user_id div 16").alias("cgroup"))
+        return e.select("event_id", F.col("event_type").alias("fd"), F.col("v").alias("count"), "time", *system)
+
+    return c.add("syscalls/sys_enter_pread64", stand_in, "time", "event_id", "ts", stand_in)
