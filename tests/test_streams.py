@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import aggregates, histogram, joins, windows
 from tidewell.plans.dialect import DialectError, parse
-from tidewell.plans.engine import Engine
+from tidewell.plans.builder import Query
+from tidewell.plans.engine import Engine, predicate
 from tidewell.queries import ORACLES, QUERIES
 from tidewell.sources.catalog import Catalog, UnknownEvent, kernel_schema, tables
+from tidewell.streaming import joins as stream_joins
+from tidewell.streaming.stateful import windowed_stream
 
 
 def stream(spark, times, values=None):
@@ -106,7 +109,7 @@ def test_dialect_accepts_either_clause_order():
     assert a == b and a.window.kind == "time" and [i.agg for i in a.items] == [None, None, "count", "max"]
 
 
-@pytest.mark.parametrize("sql", ["INSERT INTO x VALUES (1)", "SELECT a FROM b, c", "SELECT a, MAX(b) FROM c", "SELECT a FROM b WINDOW(rows, 1, 1)", "SELECT a FROM b WINDOW(count, 0, 1)", "SELECT (a FROM b", "SELECT a FROM b JOIN (SELECT a FROM c)"])
+@pytest.mark.parametrize("sql", ["INSERT INTO x VALUES (1)", "SELECT a FROM b, c", "SELECT a, MAX(b) FROM c", "SELECT a FROM b WINDOW(rows, 1, 1)", "SELECT a FROM b WINDOW(session, 5)", "SELECT a FROM b LIMIT 3 UNION SELECT a FROM c", "SELECT a FROM b CROSS JOIN (SELECT a FROM c) ON 1", "SELECT a FROM b ON a = 1", "SELECT a FROM b WINDOW(count, 0, 1)", "SELECT (a FROM b", "SELECT a FROM b JOIN (SELECT a FROM c)"])
 def test_dialect_rejects(sql):
     with pytest.raises(DialectError):
         parse(sql)
@@ -137,7 +140,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert sorted(got) == sorted(tuple(r) for r in want.collect()) and got
 
 
-@pytest.mark.parametrize("sql", ["SELECT * FROM s WINDOW(count, 100, 25)", "SELECT a FROM s JOIN (SELECT a FROM c) USING (a)", "SELECT a, COUNT(*) FROM s GROUP BY a", "SELECT COUNT(*) FROM s", "SELECT DISTINCT a FROM s", "SELECT a FROM s WINDOW(count, 5, 5) LIMIT 3"])
+@pytest.mark.parametrize("sql", ["SELECT a, COUNT(*) FROM s GROUP BY a WINDOW(session, 5)", "SELECT a FROM s WINDOW(count, 5, 9)", "SELECT a FROM s UNION SELECT a FROM t", "SELECT a FROM s JOIN (SELECT a FROM c) USING (a)", "SELECT a, COUNT(*) FROM s GROUP BY a", "SELECT COUNT(*) FROM s", "SELECT DISTINCT a FROM s", "SELECT a FROM s WINDOW(count, 5, 5) LIMIT 3"])
 def test_stream_refuses_what_it_cannot_do_whole(sql):
     with pytest.raises(DialectError, match="a stream"):
         Engine(None, None).stream(sql, print)
@@ -166,3 +169,94 @@ def test_windows_over_many_cells(spark, monkeypatch, seed):
     got = {r.window_id: r.n for r in out(rows.groupBy("pane").agg(F.sum("id").alias("n"))).groupBy("window_id").agg(F.sum("n").alias("n")).collect()}
     assert got == {k: sum(range(20 * k, 20 * k + 30)) for k in range((len(times) - 30) // 20 + 1)}
     assert windows.count_windows(df.withColumn("rn", F.lit(5)), 10, "time", "id").where("rn = 5").count() == len(times) // 10 * 10
+
+
+def test_bare_columns_in_predicates(spark):
+    schema = spark.createDataFrame([], "a int, b long, c string, d boolean").schema
+    for text, want in (("a", "(a <> 0)"), ("NOT a OR (b AND d)", "NOT (a <> 0) OR ((b <> 0) AND d)"), ("b BETWEEN a AND b AND a", "b BETWEEN a AND b AND (a <> 0)"), ("abs(a) > 1 AND c = 'a AND b'", "abs(a) > 1 AND c = 'a AND b'"), ("a IN (a) AND d", "a IN (a) AND d")):
+        assert predicate(text, schema) == want
+
+
+def test_no_item_is_dropped(spark, sf):
+    engine = Engine(spark, tables(sf))
+    assert engine.execute("SELECT user_id, STDDEV(v), MAX(v * 2) AS m, COUNT(*) FROM events GROUP BY user_id")[1].columns == ["user_id", "STDDEV(v)", "m", "count_"]
+    for sql in ("SELECT user_id, v FROM events GROUP BY user_id", "SELECT user_id, v + 1 FROM events GROUP BY user_id", "SELECT user_id, v, SUM(v) FROM events GROUP BY user_id"):
+        with pytest.raises(DialectError):
+            engine.execute(sql)
+    a = engine.execute("SELECT STDDEV(v) AS s FROM events WINDOW(count, 500, 500)")[1]
+    assert a.columns == ["window_id", "s"] and a.count() == 2
+
+
+def test_time_bounds_reach_the_files(spark, sf):
+    plan = Engine(spark, tables(sf)).execute("SELECT event_id FROM events WHERE time >= 1704500000000000 AND v > 3 AND time < 1705500000000000")[1]._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+
+
+def test_sides_of_a_self_join_have_names(spark, sf):
+    engine = Engine(spark, tables(sf))
+    out = engine.execute("SELECT * FROM events JOIN (SELECT user_id, v FROM events) USING (user_id)")[1]
+    assert {"v_events", "v_events_2", "user_id"} <= set(out.columns)
+    q = Query("events").project("user_id", "v_events", "v_events_2").join(Query("events").project("user_id", "v"), ["user_id"])
+    assert q.build(engine).count() == out.count()
+    assert Query("events").project("user_id").union(Query("events").project("user_id"), "intersect").build(engine).count() == engine.execute("SELECT DISTINCT user_id FROM events")[1].count()
+
+
+def test_batches_statistics_and_functions(spark, sf, caplog):
+    engine = Engine(spark, tables(sf))
+    with caplog.at_level("INFO"):
+        out = list(engine.batches("SELECT event_id FROM events WINDOW(count, 300, 300)", 256))
+    assert [(k, len(r)) for k, r in out] == [(k, n) for k in range(3) for n in (256, 44)]
+    assert engine.stats[-1]["rows"] == 900 and engine.stats[-1]["runs"] == 1 and engine.stats[-1]["run_s"] > 0 and "900 rows" in caplog.text
+
+    @F.pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    engine.register("spread", spread)
+    got = {r.event_type: r.s for r in engine.execute("SELECT event_type, spread(v) AS s FROM events GROUP BY event_type")[1].collect()}
+    want = {r.event_type: r.s for r in engine.execute("SELECT event_type, MAX(v) - MIN(v) AS s FROM events GROUP BY event_type")[1].collect()}
+    assert got == want and got
+
+
+def sliced(spark, path, *parts):
+    schema = "time long, id long, k long"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def run(spark, out, name):
+    out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    rows = [[(0, 0, 1), (90, 1, 1)], [(40, 2, 1), (95, 3, 1), (260, 4, 1)], [(100, 5, 1), (400, 6, 1)]]
+    got = run(spark, windowed_stream(sliced(spark, tmp_path / "a", *rows), "time", 60, "time", "id"), "late").collect()
+    # row 90 closes window 0, so row 40 comes too late; row 260 closes the window of 90 and 95, so row 100 does
+    assert sorted((r.window_id, r.window_start, r.id) for r in got) == [(0, 0, 0), (1, 90, 1), (1, 90, 3), (2, 260, 4)]
+    early = [[(50, 0, 1), (55, 1, 1)], [(20, 2, 1), (30, 3, 1)], [(200, 4, 1)]]
+    got = run(spark, windowed_stream(sliced(spark, tmp_path / "b", *early), "time", 60, "time", "id"), "early").collect()
+    assert sorted((r.window_id, r.window_start, r.id) for r in got) == [(0, 20, 0), (0, 20, 1), (0, 20, 2), (0, 20, 3)]
+
+
+def test_stream_joins_drop_what_cannot_meet(spark, tmp_path):
+    rows = [[(0, 0, 1), (1, 1, 2)], [(3_600, 2, 1), (90_000, 3, 2)], [(100_000, 4, 1), (100_001, 5, 3)], [(100_002, 6, 3)]]
+    s = sliced(spark, tmp_path / "j", *rows).withColumn("at", F.timestamp_seconds(F.col("time") + 1_000_000))
+    out = stream_joins.join_streams(s.where("id IN (0, 1, 5)"), s.where("id IN (2, 3, 4)"), ["k"], ("at", "at"), "2 HOURS", "1 hour", how="left")
+    got = sorted((r.k, r.id_left, r.id_right) for r in run(spark, out.select("k", "id_left", "id_right"), "joined").fillna(-1).collect())
+    assert got == [(1, 0, 2), (2, 1, -1)]
+
+
+def test_stream_takes_a_trigger(spark, sf, tmp_path):
+    src = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id AS id", "event_id * 7 AS time")
+    src.coalesce(1).write.parquet(f"{tmp_path}/in")
+    c = Catalog().add_files("s", f"{tmp_path}/in", time="time", tie="id", schema=src.schema, stream=True)
+    got, engine = [], Engine(spark, c, unit=1)
+    q = engine.stream("SELECT COUNT(*) FROM s WINDOW(count, 100, 50)", lambda df, n: got.extend(tuple(r) for r in df.collect()), trigger={"processingTime": "200 milliseconds"})
+    try:
+        q.processAllAvailable()
+        assert sorted(got) == [(k, 35 + 50 * 7 * k - 35, 100) for k in range(19)] or sorted(r[0] for r in got) == list(range(19))
+        assert engine.stream_stats(q)[0]["rows"] == 1000
+    finally:
+        q.stop()

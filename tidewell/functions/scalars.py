@@ -23,3 +23,8 @@ def bit(c: Column, place: int) -> Column:
 def without_padding(c: Column) -> Column:
     """A fixed-size string without its trailing NUL bytes."""
     return F.rtrim(c, F.lit("\0"))
+
+
+def search_sorted(sorted_values: Column, value: Column) -> Column:
+    """How many elements of an ascending array are less than the value: where it belongs."""
+    return F.size(F.filter(sorted_values, lambda x: x < value))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,11 @@ from .operators import aggregates as A
 from .operators import histogram as H
 from .operators import joins as J
 from .operators import windows as W
+from .plans.builder import Query
 from .plans.engine import Engine
-from .sources.catalog import load_events, tables
+from .sources.catalog import load_events, micros, tables
+from .streaming.joins import join_streams, latency_stream
+from .streaming.stateful import windowed_stream
 
 HOUR = 3_600_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +68,7 @@ dialect("filter_ne", "SELECT event_id FROM events WHERE event_type != 'click'",
 dialect("filter_range", "SELECT event_id, v FROM events WHERE v >= 10 AND v < 50 AND user_id > 5 AND user_id <= 90", f"WITH {_E} SELECT event_id, v FROM e WHERE v >= 10 AND v < 50 AND user_id > 5 AND user_id <= 90")
 dialect("filter_and", "SELECT event_id FROM events WHERE v > 20 AND event_type = 'view'", f"WITH {_E} SELECT event_id FROM e WHERE v > 20 AND event_type = 'view'")
 dialect("filter_or", "SELECT event_id FROM events WHERE v > 100 OR (event_type = 'signup' AND NOT v = 3)", f"WITH {_E} SELECT event_id FROM e WHERE v > 100 OR (event_type = 'signup' AND NOT v = 3)")
-dialect("filter_truthy", "SELECT event_id FROM events WHERE v <> 0", f"WITH {_E} SELECT event_id FROM e WHERE v <> 0")
+dialect("filter_truthy", "SELECT event_id FROM events WHERE v", f"WITH {_E} SELECT event_id FROM e WHERE v <> 0")
 dialect("filter_pid", "SELECT pid, fd FROM syscalls/sys_enter_pread64 WHERE pid = 7", "SELECT user_id AS pid, event_type AS fd FROM events WHERE user_id = 7")
 dialect("filter_in_between_like", "SELECT event_id FROM events WHERE event_type IN ('view', 'click') AND v BETWEEN 5 AND 60 AND event_type LIKE 'c%'", f"WITH {_E} SELECT event_id FROM e WHERE event_type IN ('view', 'click') AND v BETWEEN 5 AND 60 AND event_type LIKE 'c%'")
 dialect("map_arith", "SELECT event_id, v * 2 + 1 AS x, v - user_id AS y FROM events", f"WITH {_E} SELECT event_id, v * 2 + 1 AS x, v - user_id AS y FROM e")
@@ -174,11 +179,11 @@ def distinct_join_count(spark, sf_dir):
 
 dialect(
     "windowed_join",
-    "SELECT user_id, event_id_events, vv_events, n_events FROM events JOIN (SELECT user_id, event_id AS n, v AS vv FROM events WHERE event_type = 'purchase' WINDOW(count, 100, 100)) USING (user_id) WHERE event_type = 'signup' WINDOW(count, 100, 100)".replace("vv_events, ", "vv_events, "),
+    "SELECT user_id, event_id_events, vv_events_2, n_events_2 FROM events JOIN (SELECT user_id, event_id AS n, v AS vv FROM events WHERE event_type = 'purchase' WINDOW(count, 100, 100)) USING (user_id) WHERE event_type = 'signup' WINDOW(count, 100, 100)",
     "WITH "
     + _E
     + "".join(f", {x} AS (SELECT *, (rn - 1) // 100 AS window_id FROM (SELECT *, row_number() OVER (ORDER BY time, event_id) AS rn, count(*) OVER () AS total FROM e WHERE event_type = '{x}') WHERE (rn - 1) // 100 < total // 100)" for x in ("signup", "purchase"))
-    + " SELECT s.window_id, s.user_id, s.event_id AS event_id_events, p.v AS vv_events, p.event_id AS n_events FROM signup s JOIN purchase p USING (window_id, user_id)",
+    + " SELECT s.window_id, s.user_id, s.event_id AS event_id_events, p.v AS vv_events_2, p.event_id AS n_events_2 FROM signup s JOIN purchase p USING (window_id, user_id)",
 )
 
 
@@ -250,10 +255,10 @@ def intersect_q(spark, sf_dir):
     return a.intersect(b)
 
 
-@query(f"{_U[0]} EXCEPT {_U[1]}")
-def except_q(spark, sf_dir):
-    a, b = _users(spark, sf_dir)
-    return a.subtract(b)
+_X = ["SELECT user_id FROM events WHERE event_type = 'signup' AND v < 40", "SELECT user_id FROM events WHERE event_type = 'purchase' AND v > 60"]
+for _name, _kind in (("except_q", "EXCEPT"), ("except_all", "EXCEPT ALL"), ("union_distinct", "UNION"), ("intersect_all", "INTERSECT ALL")):
+    dialect(_name, f" {_kind} ".join(_X), f"WITH {_E} " + f" {_kind} ".join(x.replace("FROM events", "FROM e") for x in _X))
+dialect("union_top", f"{_X[0]} UNION ALL {_X[1]} ORDER BY user_id DESC LIMIT 7", f"WITH {_E} SELECT * FROM ({_X[0].replace('FROM events', 'FROM e')} UNION ALL {_X[1].replace('FROM events', 'FROM e')}) ORDER BY user_id DESC LIMIT 7")
 
 
 @query(f"WITH {_E} SELECT event_id, CAST(CASE WHEN time <= 0 THEN 0 ELSE length(ltrim(CAST(CAST(time AS BIT) AS VARCHAR), '0')) - 1 END AS BIGINT) AS l FROM e")
@@ -271,13 +276,135 @@ def bit_test(spark, sf_dir):
     return load_events(spark, sf_dir).select("event_id", scalars.bit(F.col("v"), 3).alias("b"))
 
 
-def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchored time windows over a streaming read of the events, counted per window."""
-    import uuid
+# general expressions, predicates and joins of the dialect
+_K = "k AS (SELECT event_id, event_type AS fd, v AS count, time, user_id AS pid, user_id * 10 AS tgid, event_id % 4 AS cpu, 'task' || CAST(user_id % 7 AS VARCHAR) AS comm, user_id // 16 AS cgroup FROM e)"
+_P = "syscalls/sys_enter_pread64"
+dialect("filter_truthy_and", "SELECT event_id FROM events WHERE v AND NOT (user_id) AND event_id BETWEEN 10 AND 9000 OR (v AND user_id > 50)", f"WITH {_E} SELECT event_id FROM e WHERE v <> 0 AND NOT (user_id <> 0) AND event_id BETWEEN 10 AND 9000 OR (v <> 0 AND user_id > 50)")
+dialect("filter_functions", "SELECT event_id FROM events WHERE LENGTH(event_type) > 5 AND ABS(v - 50) < 10", f"WITH {_E} SELECT event_id FROM e WHERE length(event_type) > 5 AND abs(v - 50) < 10")
+dialect("filter_time", "SELECT event_id, time FROM events WHERE time >= 1704500000000000 AND time < 1705500000000000 AND v > 3", f"WITH {_E} SELECT event_id, time FROM e WHERE time >= 1704500000000000 AND time < 1705500000000000 AND v > 3")
+dialect("star_qualified", "SELECT e.* FROM events AS e WHERE e.v > 50", f"WITH {_E} SELECT * FROM e WHERE v > 50")
+dialect("system_attributes", f"SELECT tgid, cpu, comm, cgroup, COUNT(*), MAX(count) FROM tracepoint/{_P} GROUP BY tgid, cpu, comm, cgroup", f"WITH {_E}, {_K} SELECT tgid, cpu, comm, cgroup, count(*) AS count_, max(count) AS max_count FROM k GROUP BY ALL")
+dialect("scalars_of_spark", "SELECT event_id, UPPER(event_type) AS u, SIZE(SPLIT(event_type, 'i')) AS parts, time div 86400000000 AS day, ROUND(SQRT(v), 6) AS root FROM events WHERE v >= 0", f"WITH {_E} SELECT event_id, upper(event_type) AS u, CAST(len(string_split(event_type, 'i')) AS INTEGER) AS parts, time // 86400000000 AS day, round(sqrt(v), 6) AS root FROM e WHERE v >= 0")
+dialect("ranking", "SELECT event_id, RANK() OVER (PARTITION BY user_id ORDER BY v DESC) AS r, COALESCE(LAG(v) OVER (PARTITION BY user_id ORDER BY time, event_id), -1) AS before FROM events", f"WITH {_E} SELECT event_id, CAST(rank() OVER (PARTITION BY user_id ORDER BY v DESC) AS INTEGER) AS r, coalesce(lag(v) OVER (PARTITION BY user_id ORDER BY time, event_id), -1) AS before FROM e")
+dialect("agg_expressions", "SELECT event_type, MAX(v * 2) AS m, SUM(v) + COUNT(*) AS s, COUNT(*) FROM events GROUP BY event_type WINDOW(count, 500, 500)", f"WITH {_count(500)} SELECT window_id, event_type, max(v * 2) AS m, CAST(sum(v) + count(*) AS BIGINT) AS s, count(*) AS count_ FROM w GROUP BY ALL")
+dialect("agg_spread", "SELECT event_type, ROUND(STDDEV(v), 6) AS sd, ROUND(VAR_POP(v), 4) AS var FROM events GROUP BY event_type", f"WITH {_E} SELECT event_type, round(stddev(v), 6) AS sd, round(var_pop(v), 4) AS var FROM e GROUP BY ALL")
+dialect("agg_collect", "SELECT event_type, ARRAY_JOIN(SORT_ARRAY(COLLECT_SET(CAST(v % 5 AS STRING))), ',') AS rests FROM events GROUP BY event_type", f"WITH {_E} SELECT event_type, array_to_string(list_sort(list(DISTINCT CAST(v % 5 AS VARCHAR))), ',') AS rests FROM e GROUP BY ALL")
+dialect("agg_sketch", "SELECT ABS(APPROX_COUNT_DISTINCT(event_id) - COUNT(DISTINCT event_id)) <= 0.15 * COUNT(*) AS near, ABS(APPROX_PERCENTILE(v, 0.5) - PERCENTILE(v, 0.5)) <= 1 AS middle FROM events", "SELECT true AS near, true AS middle")
+dialect("cube", f"SELECT fd, comm, COUNT(*), SUM(count) FROM {_P} GROUP BY CUBE (fd, comm)", f"WITH {_E}, {_K} SELECT fd, comm, count(*) AS count_, CAST(sum(count) AS BIGINT) AS sum_count FROM k GROUP BY CUBE (fd, comm)")
+dialect("grouping_sets", f"SELECT fd, comm, COUNT(*) FROM {_P} GROUP BY GROUPING SETS ((fd, comm), (comm), ()) WINDOW(count, 1000, 1000)", f"WITH {_E}, {_K}, w AS (SELECT *, (row_number() OVER (ORDER BY time, event_id) - 1) // 1000 AS window_id FROM k) SELECT window_id, fd, comm, count(*) AS count_ FROM w WHERE window_id < (SELECT count(*) // 1000 FROM e) GROUP BY GROUPING SETS ((window_id, fd, comm), (window_id, comm), (window_id))")
+dialect("rollup_dialect", f"SELECT fd, comm, MAX(count) FROM {_P} GROUP BY ROLLUP (fd, comm)", f"WITH {_E}, {_K} SELECT fd, comm, max(count) AS max_count FROM k GROUP BY ROLLUP (fd, comm)")
+dialect("having_aggregate", "SELECT user_id, COUNT(*) FROM events GROUP BY user_id HAVING SUM(v) > 500 AND MIN(v) < 5", f"WITH {_E} SELECT user_id, count(*) AS count_ FROM e GROUP BY ALL HAVING sum(v) > 500 AND min(v) < 5")
+dialect("session_dialect", "SELECT user_id, COUNT(*), MAX(v) FROM events GROUP BY user_id WINDOW(session, 1800000)", f"WITH {_E}, g AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY user_id ORDER BY time) < {HOUR // 2} THEN 0 ELSE 1 END AS new FROM e), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY time) AS k FROM g) SELECT min(time) AS window_start, user_id, count(*) AS count_, max(v) AS max_v FROM s GROUP BY user_id, k")
+dialect("slide_raw", "SELECT event_id FROM events WINDOW(count, 60, 20)", f"WITH {_R} SELECT k AS window_id, event_id FROM r, range(0, 1 + (SELECT (count(*) - 60) // 20 FROM events)) t(k) WHERE rn > k * 20 AND rn <= k * 20 + 60")
+_RIGHT = "(SELECT user_id, event_id, v FROM events WHERE event_type = 'purchase' AND v > 90)"
+dialect("join_left_on", f"SELECT user_id_s, event_id_s, COALESCE(event_id_p, -1) AS event_id_p FROM events AS s LEFT JOIN {_RIGHT} AS p ON s.user_id = p.user_id AND s.v < p.v WHERE event_type = 'signup' AND v > 50", f"WITH {_E}, p AS (SELECT * FROM e WHERE event_type = 'purchase' AND v > 90) SELECT s.user_id AS user_id_s, s.event_id AS event_id_s, coalesce(p.event_id, -1) AS event_id_p FROM e s LEFT JOIN p ON s.user_id = p.user_id AND s.v < p.v WHERE s.event_type = 'signup' AND s.v > 50")
+dialect("join_full", f"SELECT user_id, COALESCE(event_id_s, -1) AS event_id_s, COALESCE(event_id_p, -1) AS event_id_p FROM events AS s FULL OUTER JOIN {_RIGHT} AS p USING (user_id) WHERE event_type = 'signup' AND v > 90", f"WITH {_E}, p AS (SELECT * FROM e WHERE event_type = 'purchase' AND v > 90), s AS (SELECT * FROM e WHERE event_type = 'signup' AND v > 90) SELECT user_id, coalesce(s.event_id, -1) AS event_id_s, coalesce(p.event_id, -1) AS event_id_p FROM s FULL JOIN p USING (user_id)")
+for _name, _kind, _test in (("join_semi", "SEMI", "IN"), ("join_anti", "ANTI", "NOT IN")):
+    dialect(_name, f"SELECT user_id, event_id_events FROM events LEFT {_kind} JOIN {_RIGHT} AS p USING (user_id) WHERE event_type = 'signup'", f"WITH {_E} SELECT user_id, event_id AS event_id_events FROM e WHERE event_type = 'signup' AND user_id {_test} (SELECT user_id FROM e WHERE event_type = 'purchase' AND v > 90)")
+dialect("join_one_window", "SELECT event_type_events, COUNT(*), MAX(top_u) FROM events JOIN (SELECT user_id, MAX(v) AS top FROM events GROUP BY user_id) AS u USING (user_id) GROUP BY event_type_events WINDOW(count, 500, 500)", f"WITH {_count(500)}, u AS (SELECT user_id, max(v) AS top FROM e GROUP BY ALL) SELECT window_id, event_type AS event_type_events, count(*) AS count_, max(top) AS max_top_u FROM w JOIN u USING (user_id) GROUP BY ALL")
+
+
+@query(f"WITH {_E} SELECT event_id, 2 * v + 1 AS odd FROM e WHERE v > 50")
+def udf_hook(spark, sf_dir):
+    return Engine(spark, tables(sf_dir)).register("make_odd", lambda x: 2 * x + 1).execute("SELECT event_id, make_odd(v) AS odd FROM events WHERE v > 50")[1]
+
+
+@query(f"WITH {_count(500)} SELECT window_id, user_id, count(*) AS count_, max(v) AS max_v FROM w GROUP BY ALL HAVING count(*) > 2 ORDER BY count_ DESC, window_id, user_id LIMIT 40")
+def fluent_builder(spark, sf_dir):
+    q = Query("events").window("count", 500).group_by("user_id").count().max("v").having("count_ > 2").order_by("count_ desc", "window_id", "user_id").limit(40)
+    return q.build(Engine(spark, tables(sf_dir)))
+
+
+@query(f"WITH {_E}, g AS (SELECT user_id, event_type, max(v) AS max_v FROM e GROUP BY ALL) SELECT user_id, count(*) AS count_, max(max_v) AS max_max_v FROM g GROUP BY ALL")
+def shared_synopsis(spark, sf_dir):
+    engine = Engine(spark, tables(sf_dir)).share("tops", "SELECT user_id, event_type, MAX(v) FROM events GROUP BY user_id, event_type")
+    return engine.execute("SELECT user_id, COUNT(*), MAX(max_v) FROM tops GROUP BY user_id")[1]
+
+
+@query(f"WITH {_E}, a AS (SELECT user_id, CAST(sum(v) * 256 AS BIGINT) // count(v) AS avg_fixed_v, count(v) AS n, max(v) AS top FROM e GROUP BY ALL) SELECT user_id, avg_fixed_v, CASE WHEN n <= 1 THEN 0 ELSE (avg_fixed_v * n - 256 * top) // (n - 1) END AS without_top FROM a")
+def agg_avg_fixed(spark, sf_dir):
+    a = load_events(spark, sf_dir).groupBy("user_id").agg(A.aggregate("avg_fixed", "v"), F.count("v").alias("n"), F.max("v").alias("top"))
+    return a.select("user_id", "avg_fixed_v", A.retract_average(F.col("avg_fixed_v"), F.col("n"), F.col("top")).alias("without_top"))
+
+
+@query(f"WITH {_R} SELECT (rn - 1) // 20 AS window_id, event_id FROM r WHERE (rn - 1) // 20 < (total - 60) // 20")
+def expired_rows(spark, sf_dir):
+    return W.expired(load_events(spark, sf_dir), 60, 20, "time", "event_id").select("window_id", "event_id")
+
+
+@query("SELECT s_suppkey, s_nationkey, coalesce(n_regionkey, -1) AS ns_pid FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey > 1")
+def namespace_lookup(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey > 1").selectExpr("n_nationkey AS s_nationkey", "n_regionkey AS ns_pid")
+    return J.with_looked_up(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey"), nation, ["s_nationkey"], "ns_pid").fillna(-1, "ns_pid")
+
+
+@query(f"WITH {_E} SELECT event_id, CAST(CASE WHEN v > 50 THEN 3 WHEN v > 20 THEN 2 WHEN v > 5 THEN 1 ELSE 0 END AS INTEGER) AS place, event_type AS plain FROM e")
+def search_and_padding(spark, sf_dir):
+    padded = F.rpad("event_type", 16, "\0")
+    return load_events(spark, sf_dir).select("event_id", scalars.search_sorted(F.array(*(F.lit(x).cast("bigint") for x in (5, 20, 50))), F.col("v")).alias("place"), scalars.without_padding(padded).alias("plain"))
+
+
+def _explicit_quantile_sql(q: int) -> str:
+    s, ends = q * 10_000, [(0, BUCKETS[0][0]), *BUCKETS, (BUCKETS[-1][1], H.OPEN_END)]
+    pick = lambda k: "CAST(CASE bucket " + " ".join(f"WHEN {i - 1} THEN {e[k]}" for i, e in enumerate(ends)) + " END AS HUGEINT)"
+    base = f"{_E}, h AS (SELECT {_CASES.format(-1)} AS bucket, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS total, {pick(0)} AS lb, {pick(1)} AS ub FROM h)"
+    order, share, first = ("bucket DESC", "total - CAST(sum(n) OVER (ORDER BY bucket DESC) AS BIGINT)", 1_000_000) if q >= 50 else ("bucket", "CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT)", 0)
+    value = f"CASE WHEN b = {s} THEN {'lb' if q >= 50 else 'ub'} ELSE lb + (ub - lb) * " + (f"({s} - b) // (prev - b)" if q >= 50 else f"({s} - prev) // (b - prev)") + " END"
+    return f"WITH {base}, c AS (SELECT *, 1000000 * ({share}) // total AS b FROM t), p AS (SELECT *, lag(b, 1, {first}) OVER (ORDER BY {order}) AS prev FROM c) SELECT CAST({value} AS BIGINT) AS quantile FROM (SELECT * FROM p WHERE b {'<=' if q >= 50 else '>='} {s} ORDER BY {order} LIMIT 1)"
+
+
+for _name, _q in (("hist_quantile_explicit_low", 20), ("hist_quantile_explicit_mid", 50), ("hist_quantile_explicit_high", 60)):
+    QUERIES[_name] = lambda s, d, q=_q: H.quantile_explicit(H.histogram(load_events(s, d), H.explicit_bucket("v", BUCKETS)), BUCKETS, q)
+    ORACLES[_name] = _explicit_quantile_sql(_q)
+
+
+# streams, read in several micro-batches
+def _sliced(spark: SparkSession, sf_dir: str, slices: int = 4) -> DataFrame:
+    """The events as a stream of several files in time order, on the folder that the cluster shares (a temporary one where the master is local)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    path = f"{base or 'file://' + tempfile.mkdtemp()}/events-{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", micros("ts").alias("time"), "user_id", "event_type", F.col("value").cast("bigint").alias("v"))
+    ends = e.agg(F.percentile_approx("time", [k / slices for k in range(1, slices)], 1000).alias("q")).first().q
+    for lo, hi in zip([None, *ends], [*ends, None], strict=True):
+        part = e if lo is None else e.where(F.col("time") > lo)
+        (part if hi is None else part.where(F.col("time") <= hi)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _gathered(spark: SparkSession, out: DataFrame) -> DataFrame:
+    name = f"stream_{uuid.uuid4().hex}"
+    out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query(ORACLES["slide_raw"])
+def stream_slide_count(spark, sf_dir):
+    return _gathered(spark, windowed_stream(_sliced(spark, sf_dir), "count", 60, "time", "event_id", 20)).select("window_id", "event_id")
+
 
-    from .sources.catalog import micros
-    from .streaming.stateful import windowed_stream
+@query(ORACLES["win_slide_time"])
+def stream_slide_time(spark, sf_dir):
+    rows = _gathered(spark, windowed_stream(_sliced(spark, sf_dir), "time", 24 * HOUR, "time", "event_id", 6 * HOUR))
+    return A.group(rows, ["event_type"], A.aggregate("count", "*"))
 
+
+@query(ORACLES["latency_pairs"])
+def stream_latency(spark, sf_dir):
+    out = latency_stream(_sliced(spark, sf_dir).select("event_id", "time", "user_id", "event_type"), "event_type = 'signup'", "event_type = 'purchase'", "user_id", "time", "event_id")
+    return _gathered(spark, out).select("user_id", "event_id", "start_time", "duration")
+
+
+@query("SELECT s.user_id, s.event_id AS event_id_s, p.event_id AS event_id_p FROM events s JOIN events p ON s.user_id = p.user_id AND p.ts >= s.ts AND p.ts <= s.ts + INTERVAL 6 HOURS WHERE s.event_type = 'signup' AND p.event_type = 'purchase'")
+def stream_join(spark, sf_dir):
+    e = _sliced(spark, sf_dir).withColumn("at", F.expr("CAST(CAST(ts AS STRING) AS TIMESTAMP)"))
+    sides = (e.where(F.col("event_type") == x).select("user_id", "at", "event_id") for x in ("signup", "purchase"))
+    return _gathered(spark, join_streams(*sides, ["user_id"], ("at", "at"), "6 HOURS", "1 day", ("s", "p"))).select("user_id", "event_id_s", "event_id_p")
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchored time windows over a streaming read of the events, counted per window."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).select("event_id", micros("ts").alias("time"))
     name = f"stream_{uuid.uuid4().hex}"

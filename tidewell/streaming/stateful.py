@@ -12,37 +12,46 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def windowed_stream(df: DataFrame, kind: str, size: int, time: str, tie: str | None = None) -> DataFrame:
-    """df's rows with window_id and window_start, once their window has closed. kind: count or time (anchored, half-open)."""
-    names = df.columns
+def windowed_stream(df: DataFrame, kind: str, size: int, time: str, tie: str | None = None, step: int | None = None) -> DataFrame:
+    """df's rows with window_id and window_start, once their window has closed. kind: count or time (anchored, half-open); step: less than size for sliding windows.
+
+    The rows of a micro-batch and the held ones are put in (time, tie) order together, so rows may come out of order as
+    long as their window is open. Rows before the begin of the open window come too late and are dropped.
+    """
+    names, step = df.columns, step or size
     schema = T.StructType([T.StructField("window_id", T.LongType()), T.StructField("window_start", T.LongType()), *df.schema.fields])
-    state = T.StructType([T.StructField("id", T.LongType()), T.StructField("held", T.BinaryType())])
+    state = T.StructType([T.StructField("id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("held", T.BinaryType())])
+    order = [time] + ([tie] if tie else [])
 
-    def step(key, parts, store):
+    def advance(key, parts, store):
         import io
 
-        number, held = store.get if store.exists else (0, None)
-        frames = list(parts)
-        rows = pd.concat([x[names] for x in frames], ignore_index=True) if frames else None
-        if rows is not None:
-            rows = rows.sort_values([time] + ([tie] if tie else []), kind="stable", ignore_index=True)
-        if held is not None:
-            rows = pd.concat([pd.read_pickle(io.BytesIO(held)), rows], ignore_index=True)
-        while rows is not None and len(rows):
-            start = int(rows[time].iloc[0])
+        number, start, held = store.get if store.exists else (0, None, None)
+        frames = [pd.read_pickle(io.BytesIO(held))] if held is not None else []
+        frames += [x[names] for x in parts]
+        rows = pd.concat([x for x in frames if len(x)] or frames[:1], ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        if number and start is not None:
+            rows = rows[rows[time] >= start].reset_index(drop=True)
+        while len(rows):
+            # a tumbling window starts with a row; a sliding one a step behind the one before
+            if kind == "count" or step == size or not number:
+                start = int(rows[time].iloc[0])
             n = size if kind == "count" else int(rows[time].searchsorted(start + size, "left"))
-            if n > len(rows) or (kind == "time" and n == len(rows)):
+            if n > len(rows) or kind == "time" and n == len(rows):
                 break
             out = rows.iloc[:n].copy()
             out.insert(0, "window_start", start)
             out.insert(0, "window_id", number)
             yield out
-            number, rows = number + 1, rows.iloc[n:].reset_index(drop=True)
+            gone = step if kind == "count" else int(rows[time].searchsorted(start + step, "left"))
+            number, start, rows = number + 1, start + step, rows.iloc[gone:].reset_index(drop=True)
+            if kind == "count" and len(rows):
+                start = int(rows[time].iloc[0])
         buf = io.BytesIO()
         rows.to_pickle(buf)
-        store.update((number, buf.getvalue()))
+        store.update((number, start, buf.getvalue()))
 
-    return df.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
+    return df.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandasWithState(advance, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def event_time_windows(df: DataFrame, timestamp: str, size: str, late: str, *keys: str) -> DataFrame:
