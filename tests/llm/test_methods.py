@@ -93,9 +93,14 @@ def shingles(t, k):
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_signature(percent):
     rng, s, tried = np.random.default_rng(7), jaccard_join.Signatures(percent), 0
+    usual = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    s.common = np.sort(usual)
     for _ in range(400):
         n = int(np.exp(rng.uniform(0, 6.5)))
         a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        k = int(rng.uniform(0, 1.3) * min(n, 400))  # up to all shingles are common ones
+        a[: min(k, n, 400)] = usual[: min(k, n, 400)]
+        rng.shuffle(a)
         m = int(n * (100 - percent) / 100 * rng.uniform(0, 1.05))
         add = int(rng.integers(0, m + 1))
         a, b = np.unique(a), np.unique(np.concatenate([a[min(m - add, n - 1) :], rng.integers(0, 1 << 62, add).astype(np.uint64)]))
@@ -271,13 +276,33 @@ def patience(a, b):
     return diff(0, len(a), 0, len(b))
 
 
-def lines_removed(rows):
-    """doc -> text without the blocks that an earlier document aligns and that have five words, or that are a whole copy."""
-    out, seqs = [], []
+def weigh(line):
+    return max(len(words(line)), len(re.findall("[\u3000-\u9fff\u0e00-\u0eff]", line)) // 2)
+
+
+def runs(seq):
+    """(first, last) of the shortest runs from a line on, or up to a line, that have five words."""
+    n = [weigh(x) for x in seq]
+    total = lambda i, j: sum(n[i : j + 1])
+    up = {(i, min(e)) for i in range(len(n)) if (e := [j for j in range(i, len(n)) if total(i, j) >= 5])}
+    return up | {(max(b), j) for j in range(len(n)) if (b := [i for i in range(j + 1) if total(i, j) >= 5])}
+
+
+def lines_removed(rows, rare=20):
+    """doc -> text without the blocks that an earlier document aligns and that have five words, or that are a whole copy, or a run of very many documents."""
+    out, seqs, held = [], [], {}
+    for d, t in {(d, t) for d, t in rows if d is not None}:
+        seq = [x for x in (t or "").split("\n") if x]
+        for run in {tuple(seq[i : j + 1]) for i, j in runs(seq)}:
+            held.setdefault(run, []).append(d)
     for d, t in rows:
         lines = (t or "").split("\n")
         at = [i for i, x in enumerate(lines) if x]
         seq, gone = [lines[i] for i in at], set()
+        for i, j in runs(seq):
+            own = held[tuple(seq[i : j + 1])]
+            if len(own) > rare and min(own) < d:
+                gone.update(at[i : j + 1])
         for e, other in seqs:
             if e >= d or not set(other) & set(seq):
                 continue
@@ -287,7 +312,7 @@ def lines_removed(rows):
             block = []
             for i, j in [*patience(other, seq), (-9, -9)]:
                 if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
-                    if sum(max(len(words(seq[q])), len(re.findall("[　-鿿฀-໿]", seq[q])) // 2) for _, q in block) >= 5:
+                    if sum(weigh(seq[q]) for _, q in block) >= 5:
                         gone.update(at[q] for _, q in block)
                     block = []
                 block.append((i, j))
@@ -296,13 +321,15 @@ def lines_removed(rows):
     return out
 
 
-def test_lines_equal_an_independent_alignment(spark, corpus):
+@pytest.mark.parametrize("rare", [20, 3, 10**9])
+def test_lines_equal_an_independent_alignment(spark, corpus, monkeypatch, rare):
+    monkeypatch.setattr(line_dedup, "RARE", rare)
     rng = np.random.default_rng(9)
     pool = [f"line {i} of {'many ' * (i % 4)}words" for i in range(9)] + ["a", "", "b c"]
     rows = [(d, t) for d, t, *_ in corpus] + [(9000 + i, "\n".join(pool[j] for j in rng.integers(0, len(pool), rng.integers(1, 9)))) for i in range(80)] + [(9990, None), (9991, "x\n\ny z\n\nu v"), (9992, "x\n\ny z\n\nu v")]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), every=True)
-    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, lines_removed(sorted(rows, key=lambda r: r[0]))))
-    assert dict(lines_removed(rows))[9992] == "\n"  # empty lines stay
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, lines_removed(sorted(rows, key=lambda r: r[0]), rare)))
+    assert dict(lines_removed(rows, rare))[9992] == "\n"  # empty lines stay
 
 
 # operators 5, 6, 9: names, repeats and nulls

@@ -1,13 +1,20 @@
 """Line deduplication by pairwise alignment.
 
-A document is the sequence of its \\n-separated lines' 64-bit hashes. Lines of MIN_WORDS words or more that two or more
-documents share are anchors; each joins its documents in a star to the earliest (smallest doc_id), never all pairs. No
-frequency bound makes a line too common: a group of thousands of copies is found like a group of two, at one pair per
-document and earlier partner. The documents of a very common line, and of a partner of very many, are dealt over tasks. Each pair is aligned by patience diff (lines unique on both sides, longest increasing
-sequence, grown to their neighbours, again between them); an aligned block that holds an anchor line is deleted from the
-later document. That is the default of dedup_lines(). With every=True, which the query and the pipeline use, a block is
-deleted if any earlier document aligns it and its lines have MIN_WORDS words together (two characters of a script without
-spaces count as a word), or if the lines of both texts are equal as a whole. Alignments are judged on the input, not on what other pairs leave.
+A document is the sequence of its \\n-separated lines' 64-bit hashes. With every=True, which the query and the pipeline
+use, overlapping documents are found through shared rare runs: the shortest runs of neighbouring lines that have
+MIN_WORDS words together (two characters of a script without spaces count as one) and are in RARE documents at most. A document
+and every earlier one that share such a run are aligned by patience diff (lines unique on both sides, longest increasing
+sequence, grown to their neighbours, again between them), and every aligned block of MIN_WORDS words or more is deleted
+from the later one. A run in more than RARE documents finds no partners, which would be as many as its documents' pairs: it is an
+aligned block of its own, deleted from all documents but the earliest. Equal sequences of lines are deleted as a whole from
+all but the first document. So a document meets RARE partners for each of its runs at most, groups of thousands are
+found like groups of two, and nothing is left out. Alignments are judged on the input, not on what other pairs leave.
+
+Documents are reduced to the lines that others have too, with markers for the rest; equal reductions (shapes) align alike, so one
+stands for all. Rows of very common lines and of partners of many documents are dealt over tasks.
+
+The default of dedup_lines() is simpler: lines of MIN_WORDS words are anchors, each document is aligned with the earliest
+holder of each of its anchors only, and a block goes if it holds an anchor.
 
 Defined results: null text stays null and has no lines; empty lines belong to no sequence and always stay, also between
 lines that go; an empty table gives no rows; other columns of docs may have any names and stay; rows without a doc_id stay as they are; rows that repeat a doc_id aren't compared with each other; ties can't occur, as equal
@@ -28,6 +35,8 @@ from . import kernels as K
 from . import runtime
 
 MIN_WORDS = 5
+#: A run of lines in more documents than this finds no partners: it is a block of its own.
+RARE = 20
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -245,11 +254,34 @@ def _align(pairs: DataFrame, first: DataFrame) -> DataFrame:
     return runtime.cut(found.select("s", "o_id", F.explode("gone").alias("at")).groupBy("s", "at").agg(F.min("o_id").alias("o_id")), "aligned")
 
 
+def _common_runs(keys: DataFrame, first: DataFrame) -> DataFrame:
+    """(s, key, o_id) of common runs -> (s, at, o_id): their lines' places in each shape, with the earliest holder."""
+
+    def place(batches):
+        for batch in batches:
+            out = {"s": [], "at": [], "o_id": []}
+            for s, h, weight, common in zip(*(batch.column(x).to_pylist() for x in ("s", "h", "weight", "common")), strict=True):
+                holder, least = {x["key"]: x["o_id"] for x in common}, {}
+                for i, j, key in _runs(h, weight):
+                    if key in holder:
+                        for x in range(i, j + 1):
+                            least[x] = min(least.get(x, holder[key]), holder[key])
+                out["s"] += [s] * len(least)
+                out["at"] += list(least)
+                out["o_id"] += list(least.values())
+            yield pa.RecordBatch.from_arrays([pa.array(out["s"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["o_id"], pa.int64())], names=["s", "at", "o_id"])
+
+    # a shape has no more runs than twice its lines
+    common = keys.groupBy("s").agg(F.collect_list(F.struct("key", "o_id")).alias("common"))
+    return runtime.cut(first.select("s", "h", "weight").join(common, "s").mapInArrow(place, "s long, at int, o_id long"), "common")
+
+
 def every_repeated_line(docs: DataFrame) -> DataFrame:
     """As repeated_lines(), but with the blocks that any earlier document aligns.
 
-    Shapes are aligned instead of documents, each with the earliest document of every other shape that shares a run:
-    first with a run's earliest holder, then, for the runs that this left, with all others.
+    Shapes are aligned instead of documents, each with the earliest document of every other shape that shares a rare run:
+    first with a run's earliest holder, then, for the runs that this left, with all others, of which there are RARE at
+    most. A run in more than RARE documents is a block of its own, aligned with its earliest holder whatever stands around it.
     """
     runtime.ship(docs.sparkSession)
     shapes = _shapes(runtime.cut(_lines(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))), "lines"))
@@ -265,12 +297,15 @@ def every_repeated_line(docs: DataFrame) -> DataFrame:
                 until.append(i if {x for p, q, _ in _runs(h, weight) for x in range(p, q + 1)} <= set(owns[-1]) else last)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(owns, pa.list_(pa.int32())), pa.array(until, pa.int64())], names=[*batch.schema.names[:-1], "own", "until"])
 
-    reps = sizes.select(F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "last")
-    first = shapes.join(reps, ["doc_id", "th"]).select("s", F.col("doc_id").alias("id"), "h", "weight", "keys", "last")
-    first = runtime.cut(first.mapInArrow(own, "s long, id long, h array<long>, weight array<int>, keys array<long>, own array<int>, until long"), "first")
-    keyed = runtime.cut(first.select("s", "id", "until", F.explode("keys").alias("key")), "keyed")
-    owner = keyed.groupBy("key").agg(F.min(F.struct("id", "s")).alias("o"), F.count("*").alias("n")).where("n > 1")
-    owner = runtime.cut(owner.select("key", F.col("o.id").alias("o_id"), F.col("o.s").alias("o_s"), "n"), "owner")
+    reps = sizes.select(F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), F.col("n").alias("docs"), "last")
+    first = shapes.join(reps, ["doc_id", "th"]).select("s", F.col("doc_id").alias("id"), "h", "weight", "keys", "docs", "last")
+    first = runtime.cut(first.mapInArrow(own, "s long, id long, h array<long>, weight array<int>, keys array<long>, docs long, own array<int>, until long"), "first")
+    keyed = runtime.cut(first.select("s", "id", "until", "docs", F.explode("keys").alias("key")), "keyed")
+    every = keyed.groupBy("key").agg(F.min(F.struct("id", "s")).alias("o"), F.count("*").alias("n"), F.sum("docs").alias("docs")).where("docs > 1")
+    every = runtime.cut(every.select("key", F.col("o.id").alias("o_id"), F.col("o.s").alias("o_s"), "n", "docs"), "owner")
+    owner = every.where(f"docs <= {RARE} AND n > 1").drop("docs")
+    often = every.where(f"docs > {RARE}").select("key", "o_id", "n")
+    common = _common_runs(runtime.meet(keyed.select("s", "key"), often.drop("n"), ["key"], often.select("key", "n"), "s"), first)
     star = runtime.meet(keyed, owner.drop("n"), ["key"], owner, "s").where("o_id < until AND o_s <> s")
     near = _align(star.select("s", "o_s", "o_id"), first)
     done = first.select("s", "id").join(near, "s").where("o_id < id").groupBy("s").agg(F.collect_list("at").alias("gone"))
@@ -291,7 +326,7 @@ def every_repeated_line(docs: DataFrame) -> DataFrame:
     sought = runtime.cut(owner.join(left.select("key").distinct(), "key", "left_semi").select("key", "n"), "sought")
     holders = keyed.select("key", F.col("s").alias("o_s"), F.col("id").alias("o_id"))
     far = _align(runtime.meet(holders, left, ["key"], sought, "o_s").where("o_id < until AND o_s <> s").select("s", "o_s", "o_id"), first)
-    found = near.unionByName(far).groupBy("s", "at").agg(F.min("o_id").alias("o_id")).groupBy("s").agg(F.collect_list(F.struct("at", "o_id")).alias("found"))
+    found = near.unionByName(far).unionByName(common).groupBy("s", "at").agg(F.min("o_id").alias("o_id")).groupBy("s").agg(F.collect_list(F.struct("at", "o_id")).alias("found"))
     found = first.select("s", "id", "own").join(found, "s", "left")
 
     def number(batches):
