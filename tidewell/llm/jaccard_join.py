@@ -8,8 +8,8 @@ can't tell them apart; so the space is first split exactly, and pivots find the
    difference of two linked sets of about this size; so two linked sets agree exactly in some cell that isn't empty, and
    share its signature (the hash of all their shingles in that cell). A signature's documents are joined in a star to
    the smallest, never in pairs, and what is connected is a region. A signature stands for several shingles that lie
-   anywhere in the text, so regions hold near copies and not texts with a common passage, however large the corpus is:
-   nothing is counted over the corpus, sampled or held in a sketch. (See Signatures for empty cells.)
+   anywhere in the text, and shingles that a sample finds common sign last, so regions hold near copies rather than texts
+   with a common passage. No count or sketch of the corpus decides anything. (See Signatures for empty cells.)
 2. Pivots inside a region: the members go to the Voronoi cells of far-apart pivots, and to every other cell whose
    pivot is within 2 * eps of their nearest (triangle inequality), so a linked pair meets in a cell; cells are
    joined recursively. Members within eps of a pivot are linked through it. Where cells don't shrink (dense groups), every
@@ -49,7 +49,9 @@ PIVOTS = 8
 #: Documents for each bucket of the signature exchange.
 BUCKET_DOCS = 1500
 #: Dealings of the universe before single shingles are used.
-DEALINGS = 3
+DEALINGS = 4
+#: Shingles in SEEN or more of a sample of one document in SAMPLE are common; MOST_COMMON of them at most (8 bytes each) are told to the workers.
+SAMPLE, SEEN, MOST_COMMON = 64, 4, 500_000
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -66,10 +68,13 @@ class Signatures:
     dealing too, DEALINGS times at most, and at last by single shingles: the n - ceil(n * percent / 100) + 1 of least
     hash, one of which every linked set of its kind has as well. Where both of a pair have too many empty cells both sign
     further, else one of them is enough.
+
+    The first dealing leaves out common shingles, whatever set of them is given: without them two sets differ in no more
+    shingles than with them. So what many documents have in common signs only for sets that have little else.
     """
 
-    def __init__(self, percent: int):
-        self.percent, self.most = percent, [0, 1]
+    def __init__(self, percent: int, common: np.ndarray | None = None):
+        self.percent, self.most, self.common = percent, [0, 1], common
 
     def top(self, c: int) -> int:
         while len(self.most) <= c:
@@ -101,6 +106,7 @@ class Signatures:
         """(doc, signature) of sets (doc ascending, its shingle hashes, sizes of all docs)."""
         docs, sigs = [], []
         own = self.classes(n)
+        usual = np.isin(h, self.common) if self.common is not None and len(self.common) else np.zeros(len(h), bool)
         tops = np.array([self.top(c) for c in range(int(own.max()) + 2)]) if len(own) else np.zeros(0, np.int64)
         for step in (0, 1):
             at = np.flatnonzero((n > 0) & ((step == 0) | (100 * n // self.percent > tops[own]) if len(own) else False))
@@ -115,6 +121,8 @@ class Signatures:
                 where[at] = np.arange(len(at))
                 of = where[doc]
                 mine = of >= 0
+                if not salt:
+                    mine &= ~usual
                 x, of = K.mix(h[mine] ^ K.U(0x9D5C + salt)), of[mine]
                 slot = first[of] + ((x >> K.U(32)) * cells[of].astype(np.uint64) >> K.U(32)).astype(np.int64)
                 total = np.zeros(int(cells.sum()), np.uint64)
@@ -238,11 +246,25 @@ class Region:
         return d
 
 
-def _scan(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Hashes of shingles that a sample finds in many documents, ascending. They order work and decide no result."""
+
+    def scan(batches):
+        for batch in batches:
+            for _, _, buf, offs in K.slices(batch.column(0)):
+                _, h = K.shingle_sets(K.Words(buf, offs, K.WHITE, True), k)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    sample = docs.where(f"pmod(xxhash64(doc_id), {SAMPLE}) = 0").select("text").mapInArrow(scan, "h long")
+    often = sample.groupBy("h").agg(F.count("*").alias("n")).where(f"n >= {SEEN}").orderBy(F.desc("n"), "h").limit(MOST_COMMON)
+    return np.sort(often.select("h").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _scan(docs: DataFrame, k: int, percent: int, buckets: int, common) -> DataFrame:
     """kind 0: signatures as packed (hash, doc); 1: a doc with its set's size and digest; 2: pairs found on the way."""
 
     def scan(batches):
-        signatures = Signatures(percent)
+        signatures = Signatures(percent, common.value)
         for batch in batches:
             for a, b, buf, offs in K.slices(batch.column(1)):
                 ids = batch.column(0).slice(a, b - a)
@@ -517,7 +539,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, region_ro
     runtime.ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     buckets = max(32, docs.count() // BUCKET_DOCS)
-    found = runtime.cut(_scan(docs, k, percent, buckets), "scan")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
+    found = runtime.cut(_scan(docs, k, percent, buckets, common), "scan")
+    common.destroy()  # what it served is written
     each = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("digest"))
     point = runtime.cut(each.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "points")
     again = point.where("copies > 1")
