@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ascii_lower, cut, meet
+from .runtime import ascii_lower, beside, cut, meet
 
 BOUND_Z = 1.645
 MOST_BAD = 0.5
@@ -114,6 +114,6 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RU
     order = sorted(rules, key=lambda r: (-len(str(r)), str(r)))
     rule = F.coalesce(*(F.when(_fits(r), F.lit(str(r))) for r in order)) if order else F.lit(None).cast("string")
     ruled = F.coalesce(*(F.when(_fits(r), F.lit(r.verdict)) for r in order)) if order else F.lit(None).cast("string")
-    out = meet(rows, bounds.drop("pages"), ["host"], bounds.select("host", F.col("pages").alias("n")), "page_id")
+    out = beside(rows, bounds.drop("pages"), ["host"], bounds.select("host", F.col("pages").alias("n")), "page_id")
     own = F.when(F.col("bad_bound") > MOST_BAD, "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, own).alias("verdict"), "n_labelled", "n_bad")

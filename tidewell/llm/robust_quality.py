@@ -13,8 +13,8 @@ its documents belonged to the group, and the language's towards those of all doc
 judged by its language, one of thousands by itself, and no number of documents switches from one to the other.
 
 Everything is DataFrame functions: order statistics come from counts per fixed bin, moments from exact integer sums
-(fixed-point statistics), so groups of any size are pre-aggregated and a rerun gives the same bits; the rows of a large
-group meet its estimate in parts dealt over tasks.
+(fixed-point statistics), so groups of any size are pre-aggregated and a rerun gives the same bits. Up to 10,000 groups'
+estimates (30 numbers each) are broadcast; beyond that, the rows of a large group meet its estimate in parts dealt over tasks.
 
 Defined results: null or empty text has no words, fails the base rules and isn't kept; null lang or source is a group of
 its own; rows that repeat count as often as they occur; an empty table gives no rows; where no document passes the base
@@ -171,7 +171,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = F.explode(F.array(*_keys())).alias("key")
     rows = runtime.cut(_vector(stats.where(~base_failed())).select(each, *(f"x{i}" for i in range(_P))), "vectors")
     weights = runtime.cut(rows.groupBy("key").agg(F.count("*").alias("n")), "weights")
-    beside = lambda est: runtime.meet(rows, est, ["key"], weights, "x0")
+    beside = lambda est: runtime.beside(rows, est, ["key"], weights, "x0")
     est, state = runtime.cut(_start(rows), "estimate"), None
     for _ in range(MOST_STEPS):
         d = beside(est).withColumn("bin", F.least(F.floor(F.ln(1 + _distance()) * 200), F.lit(8191)))
@@ -202,7 +202,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
 def judged(stats: DataFrame) -> DataFrame:
     """stats with base_failed, distance2 (null where there is no estimate) and kept; every row of stats stays."""
     estimate, sizes = fit(stats)
-    out = runtime.meet(_vector(stats).withColumn("place", _keys()[2]), estimate, ["place"], sizes, "x0")
+    out = runtime.beside(_vector(stats).withColumn("place", _keys()[2]), estimate, ["place"], sizes, "x0")
     return out.withColumns({"base_failed": base_failed(), "distance2": _distance()}).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True)))
 
 

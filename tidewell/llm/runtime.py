@@ -94,6 +94,17 @@ def meet(rows: DataFrame, points: DataFrame, on: list[str], weights: DataFrame,
     return dealt.drop("__parts").join(held.drop("__parts"), [*on, "__part"]).drop("__part")
 
 
+#: Points of fixed width up to which beside() broadcasts them: a few MB.
+BROADCAST_POINTS = 10_000
+
+
+def beside(rows: DataFrame, points: DataFrame, on: list[str], weights: DataFrame, spread: str) -> DataFrame:
+    """meet() for points of a few numbers each: BROADCAST_POINTS of them or fewer are broadcast, so rows stay where they are."""
+    if weights.count() <= BROADCAST_POINTS:
+        return rows.join(F.broadcast(points), on)
+    return meet(rows, points, on, weights, spread)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
