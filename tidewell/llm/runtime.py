@@ -19,13 +19,18 @@ ONE_TASK_PAIRS = 2_000_000
 #: A key of meet() with more than this share of all rows, and more rows than LEAST_PART, is dealt over several tasks.
 SHARES, LEAST_PART = 1000, 1000
 
+#: Bytes of an Arrow batch that a Python worker is sent, where the session leaves Spark's own 64 MB: each is held several times over, outside the heap.
+BATCH_BYTES, SPARKS_OWN = "4m", ("67108864b", "67108864", "64m", "64MB")
+
 _shipped: set[str] = set()
 _own_base: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
+    """Send this package to the Python workers, once per application, and keep the batches they are sent small."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in SPARKS_OWN:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
