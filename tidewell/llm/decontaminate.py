@@ -32,7 +32,7 @@ from . import runtime
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 def suffix_order(x: np.ndarray, run: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Vectorised text work on Arrow buffers: word spans, 64-bit word and n-gram hashes.
 
 Everything here takes whole batches of texts as one byte buffer; no loop runs per word. Batches are cut into
-slices of a few MB of whole texts, so memory is bounded by SLICE_BYTES or the longest single text.
+slices of about SLICE_BYTES of whole texts, so memory is bounded by SLICE_BYTES or the longest single text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 _M1, _M2, _STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
