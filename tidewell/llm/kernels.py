@@ -6,12 +6,18 @@ slices of about SLICE_BYTES of whole texts, so memory is bounded by SLICE_BYTES
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 U = np.uint64
 _M1, _M2, _STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
@@ -39,6 +45,13 @@ LINES = np.zeros(256, bool)
 LINES[0x0A] = True
 
 
+def trim() -> None:
+    """Give free memory back to the system, so that workers that wait for their next task hold little."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = max(n, SLICE_BYTES)
@@ -68,6 +81,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         b = min(b, n)
         yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
+    trim()
 
 
 class Words:
