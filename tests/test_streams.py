@@ -1,4 +1,5 @@
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -6,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell import queries
 from tidewell.operators import aggregates, histogram, joins, windows
 from tidewell.plans.dialect import DialectError, parse
 from tidewell.plans.builder import Query
@@ -13,6 +15,7 @@ from tidewell.plans.engine import Engine, predicate
 from tidewell.queries import ORACLES, QUERIES
 from tidewell.sources.catalog import Catalog, UnknownEvent, kernel_schema, tables
 from tidewell.streaming import joins as stream_joins
+from tidewell.streaming import stateful
 from tidewell.streaming.stateful import windowed_stream
 
 
@@ -240,6 +243,38 @@ def test_late_rows_of_a_stream(spark, tmp_path):
     assert sorted((r.window_id, r.window_start, r.id) for r in got) == [(0, 20, 0), (0, 20, 1), (0, 20, 2), (0, 20, 3)]
 
 
+@pytest.mark.parametrize("kind, size, step", [("count", 6, 2), ("count", 5, 5), ("count", 7, 3), ("time", 60, 60), ("time", 60, 20), ("time", 50, 35)])
+def test_windows_of_a_stream_are_found_at_once(spark, tmp_path, monkeypatch, kind, size, step):
+    monkeypatch.setattr(stateful, "FRAME_ROWS", 4)
+    times = sorted(np.random.default_rng(size * step).integers(0, 900, 120).tolist())
+    parts = [[(t, i, 1) for i, t in enumerate(times)][a:b] for a, b in ((0, 1), (1, 50), (50, 53), (53, 120))]
+    got = run(spark, windowed_stream(sliced(spark, tmp_path / "w", *parts), kind, size, "time", "id", step), f"w_{kind}_{size}_{step}").collect()
+    df = stream(spark, times)
+    if kind == "count":
+        want = windows.count_windows(df, size, "time", "id") if step == size else windows.sliding_count(df, size, step, "time", "id")
+        assert all(r.window_start == times[r.window_id * step] for r in got)
+    else:
+        want = windows.time_windows(df, size, "time") if step == size else windows.sliding_time(df, size, step, "time")
+        assert {(r.window_id, r.window_start) for r in got} == {(r.window_id, r.window_start) for r in want.collect()}
+    assert sorted((r.window_id, r.id) for r in got) == sorted((r.window_id, r.id) for r in want.collect()) and got
+
+
+def test_many_windows_of_a_stream_take_time_in_proportion(spark, tmp_path):
+    spark.range(300_000).selectExpr("id * 10 AS time", "id", "id AS k").coalesce(1).write.parquet(str(tmp_path / "m"))
+    s = spark.readStream.schema("time long, id long, k long").parquet(str(tmp_path / "m"))
+    began = time.perf_counter()
+    assert run(spark, windowed_stream(s.select("time", "id"), "count", 6, "time", "id", 4).where("id % 100 = 0"), "many").count() > 3000
+    assert time.perf_counter() - began < 60  # one copy of what is left for each window took minutes
+
+
+@pytest.mark.parametrize("name", ["stream_slide_count", "stream_slide_time"])
+def test_rows_of_a_stream_stay_off_the_driver(spark, sf, monkeypatch, name):
+    assert QUERIES[name](spark, sf).inputFiles()
+    want = rows(QUERIES[name](spark, sf).toPandas())
+    monkeypatch.setattr(queries, "SLICE_ROWS", 200)
+    assert rows(QUERIES[name](spark, sf).toPandas()) == want
+
+
 def test_stream_joins_drop_what_cannot_meet(spark, tmp_path):
     rows = [[(0, 0, 1), (1, 1, 2)], [(3_600, 2, 1), (90_000, 3, 2)], [(100_000, 4, 1), (100_001, 5, 3)], [(100_002, 6, 3)]]
     s = sliced(spark, tmp_path / "j", *rows).withColumn("at", F.timestamp_seconds(F.col("time") + 1_000_000))

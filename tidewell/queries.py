@@ -16,7 +16,7 @@ from .operators import joins as J
 from .operators import windows as W
 from .plans.builder import Query
 from .plans.engine import Engine
-from .sources.catalog import load_events, micros, tables
+from .sources.catalog import load_events, micros, tables, timestamp_literal
 from .streaming.joins import join_streams, latency_stream
 from .streaming.stateful import windowed_stream
 
@@ -359,24 +359,42 @@ for _name, _q in (("hist_quantile_explicit_low", 20), ("hist_quantile_explicit_m
 
 
 # streams, read in several micro-batches
-def _sliced(spark: SparkSession, sf_dir: str, slices: int = 4) -> DataFrame:
-    """The events as a stream of several files in time order, on the folder that the cluster shares (a temporary one where the master is local)."""
+#: Rows of a micro-batch, at most about.
+SLICE_ROWS = 2_000_000
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path on the folder that the cluster shares (a temporary one where the master is local)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    path = f"{base or 'file://' + tempfile.mkdtemp()}/events-{uuid.uuid4().hex}"
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", micros("ts").alias("time"), "user_id", "event_type", F.col("value").cast("bigint").alias("v"))
-    ends = e.agg(F.percentile_approx("time", [k / slices for k in range(1, slices)], 1000).alias("q")).first().q
+    return f"{base or 'file://' + tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+
+
+def _sliced(spark: SparkSession, sf_dir: str, slices: int = 4) -> DataFrame:
+    """The events as a stream of several files in time order, at least so many, on the shared folder. They are parted by the stored timestamp, so only the rows of a slice are worked on."""
+    path = _shared(spark, "events")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    found = e.agg(F.count("ts").alias("n"), F.percentile_approx(micros("ts"), [k / 1000 for k in range(1, 1000)], 10_000).alias("q")).first()
+    slices = min(1000, max(slices, -(-found.n // SLICE_ROWS)))
+    ends = [found.q[k * 1000 // slices - 1] for k in range(1, slices)] if found.q else []
+    cols = ["event_id", "ts", micros("ts").alias("time"), "user_id", "event_type", F.col("value").cast("bigint").alias("v")]
     for lo, hi in zip([None, *ends], [*ends, None], strict=True):
-        part = e if lo is None else e.where(F.col("time") > lo)
-        (part if hi is None else part.where(F.col("time") <= hi)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = e if lo is None else e.where(f"ts > {timestamp_literal(lo)}")
+        (part if hi is None else part.where(f"ts <= {timestamp_literal(hi)}")).select(*cols).repartition(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.select(*cols).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _gathered(spark: SparkSession, out: DataFrame) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def _gathered(spark: SparkSession, out: DataFrame, shape: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """What shape makes of each micro-batch's rows, in files on the shared folder. A window's rows come in one micro-batch, so shape may aggregate windows."""
+    path = _shared(spark, "stream")
+    shape(spark.createDataFrame([], out.schema)).write.parquet(f"{path}/none")
+
+    def each(rows: DataFrame, n: int) -> None:
+        shape(rows).write.mode("overwrite").parquet(f"{path}/{n}")
+
+    out.writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", _shared(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/*")
 
 
 @query(ORACLES["slide_raw"])
@@ -386,8 +404,8 @@ def stream_slide_count(spark, sf_dir):
 
 @query(ORACLES["win_slide_time"])
 def stream_slide_time(spark, sf_dir):
-    rows = _gathered(spark, windowed_stream(_sliced(spark, sf_dir), "time", 24 * HOUR, "time", "event_id", 6 * HOUR))
-    return A.group(rows, ["event_type"], A.aggregate("count", "*"))
+    e = _sliced(spark, sf_dir).select("time", "event_id", "event_type")
+    return _gathered(spark, windowed_stream(e, "time", 24 * HOUR, "time", "event_id", 6 * HOUR), lambda rows: A.group(rows, ["event_type"], A.aggregate("count", "*")))
 
 
 @query(ORACLES["latency_pairs"])
