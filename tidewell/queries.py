@@ -399,7 +399,8 @@ def _gathered(spark: SparkSession, out: DataFrame, shape: Callable[[DataFrame],
 
 @query(ORACLES["slide_raw"])
 def stream_slide_count(spark, sf_dir):
-    return _gathered(spark, windowed_stream(_sliced(spark, sf_dir), "count", 60, "time", "event_id", 20)).select("window_id", "event_id")
+    e = _sliced(spark, sf_dir).select("time", "event_id")
+    return _gathered(spark, windowed_stream(e, "count", 60, "time", "event_id", 20), lambda rows: rows.select("window_id", "event_id"))
 
 
 @query(ORACLES["win_slide_time"])
