@@ -275,6 +275,12 @@ def test_rows_of_a_stream_stay_off_the_driver(spark, sf, monkeypatch, name):
     assert rows(QUERIES[name](spark, sf).toPandas()) == want
 
 
+def test_time_windows_of_a_stream_read_tables_of_several_files(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["stream_time_windows"](spark, str(tmp_path))
+    assert got.inputFiles() and rows(got.toPandas()) == rows(QUERIES["stream_time_windows"](spark, sf).toPandas()) and got.count()
+
+
 def test_stream_joins_drop_what_cannot_meet(spark, tmp_path):
     rows = [[(0, 0, 1), (1, 1, 2)], [(3_600, 2, 1), (90_000, 3, 2)], [(100_000, 4, 1), (100_001, 5, 3)], [(100_002, 6, 3)]]
     s = sliced(spark, tmp_path / "j", *rows).withColumn("at", F.timestamp_seconds(F.col("time") + 1_000_000))
