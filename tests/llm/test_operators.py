@@ -68,6 +68,18 @@ def test_crc_shift():
     assert int(token_store.shift_crc(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
 
 
+@pytest.mark.parametrize("top", [50, 49_408, 70_000])
+def test_chunks_of_a_slice_are_named_and_stored_as_one_by_one(top):
+    rng = np.random.default_rng(top)
+    ids = rng.integers(0, top, 4000).astype(np.uint32)
+    cuts = np.unique(np.concatenate([[0, 4000], rng.integers(0, 4000, 60)]))
+    own = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert token_store.digests(ids, cuts) == [token_store.digest(x) for x in own]
+    for x, body in zip(own[1::2], token_store._bodies(ids, cuts, list(range(1, len(own), 2))), strict=True):
+        assert (token_store.load_ids(body) == x).all() and token_store._raw(body) == x.astype("<u4").tobytes()
+    assert token_store._raw(token_store._store_ids(ids[:0])) == b""
+
+
 def components(texts, k, percent):
     sets = {}
     for d, t, *_ in texts:

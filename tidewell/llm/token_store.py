@@ -73,6 +73,13 @@ def digest(ids: np.ndarray) -> bytes:
     return hashlib.blake2b(np.ascontiguousarray(ids, "<u4").tobytes(), digest_size=DIGEST).digest()
 
 
+def digests(ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """digest() of each chunk between two cuts."""
+    raw = memoryview(np.ascontiguousarray(ids, "<u4").tobytes())
+    at = (4 * cuts).tolist()
+    return [hashlib.blake2b(raw[i:j], digest_size=DIGEST).digest() for i, j in zip(at, at[1:], strict=False)]
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     if not leaves:
         return bytes(DIGEST)
@@ -130,6 +137,15 @@ def _store_ids(ids: np.ndarray) -> bytes:
     return (b"\2" if narrow else b"\4") + K.pack(ids.astype(np.uint16 if narrow else np.uint32))
 
 
+def _bodies(ids: np.ndarray, cuts: np.ndarray, which: list[int]) -> list[bytes]:
+    """_store_ids() of some chunks; the byte planes of narrow ids are made once for all."""
+    at = cuts.tolist()
+    if len(ids) and ids.max() >= 65536:
+        return [_store_ids(ids[at[k] : at[k + 1]]) for k in which]
+    low, high = (ids & 255).astype(np.uint8).tobytes(), (ids >> 8).astype(np.uint8).tobytes()
+    return [b"\2" + low[at[k] : at[k + 1]] + high[at[k] : at[k + 1]] for k in which]
+
+
 def load_ids(b: bytes) -> np.ndarray:
     return K.unpack(b[1:], np.uint16 if b[0] == 2 else np.uint32).astype(np.uint32)
 
@@ -147,7 +163,7 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
             for a, b, buf, offs in K.slices(batch.column(1)):
                 ids, at = tokens.with_end(*tokens.table(path).encode(buf, offs), end_id)
                 cuts = cut_points(ids, at)
-                names = [digest(ids[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+                names = digests(ids, cuts)
                 sizes = np.diff(cuts)
                 rows = {"kind": [], "digest": [], "n": [], "body": [], "doc_id": [], "counts": []}
 
@@ -155,10 +171,17 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
                     for x, v in zip(rows.values(), row, strict=True):
                         x.append(v)
 
-                for name, i, n in zip(names, cuts, sizes, strict=False):
+                fresh = []
+                for k, name in enumerate(names):
                     if name not in seen:
                         seen.add(name)
-                        add(0, name, int(n), _store_ids(ids[i : i + n]), None, None)
+                        fresh.append(k)
+                rows["kind"] += [0] * len(fresh)
+                rows["digest"] += [names[k] for k in fresh]
+                rows["n"] += sizes[fresh].tolist()
+                rows["body"] += _bodies(ids, cuts, fresh)
+                rows["doc_id"] += [None] * len(fresh)
+                rows["counts"] += [None] * len(fresh)
                 if len(seen) > _SEEN:
                     seen.clear()
                 first = np.searchsorted(cuts, at)
@@ -206,27 +229,40 @@ def write_store(docs: DataFrame, target: str, path: str | None = None, end_id: i
     return _head(groups)
 
 
+def _raw(body: bytes) -> bytes | bytearray:
+    """A chunk's ids as little-endian unsigned 32-bit integers; the byte planes of narrow ids go straight to their places."""
+    if body[0] != 2 or len(body) % 2 == 0:
+        return load_ids(body).astype("<u4").tobytes()
+    n = len(body) // 2
+    out = bytearray(4 * n)
+    out[::4], out[1::4] = body[1 : n + 1], body[n + 1 :]
+    return out
+
+
 _POLY = 0xEDB88320
 
 
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _times(a: int, b: np.ndarray) -> np.ndarray:
     """Products of polynomials modulo crc32's, bit-reversed."""
-    out = np.zeros(len(a), np.uint32)
-    b = b.astype(np.uint32).copy()
+    out = np.zeros(len(b), np.uint32)
+    b = b.astype(np.uint32)
     for i in range(31, -1, -1):
-        out ^= np.where((a >> np.uint32(i)) & np.uint32(1), b, np.uint32(0))
-        b = (b >> np.uint32(1)) ^ np.where(b & np.uint32(1), np.uint32(_POLY), np.uint32(0))
+        if a >> i & 1:
+            out ^= b
+        if not a & (1 << i) - 1:
+            break
+        b = (b >> np.uint32(1)) ^ (b & np.uint32(1)) * np.uint32(_POLY)
     return out
 
 
 def shift_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     """What a part's crc32 adds to the whole's when n_bytes follow it."""
-    out, power = crc.astype(np.uint32), np.array([1 << 23], np.uint32)  # x ** 8
+    out, power = crc.astype(np.uint32), 1 << 23  # x ** 8
     left = n_bytes.astype(np.uint64)
     while left.any():
         odd = np.flatnonzero(left & np.uint64(1))
-        out[odd] = _times(np.repeat(power, len(odd)), out[odd])
-        power, left = _times(power, power), left >> np.uint64(1)
+        out[odd] = _times(power, out[odd])
+        power, left = int(_times(power, np.array([power], np.uint32))[0]), left >> np.uint64(1)
     return out
 
 
@@ -255,8 +291,7 @@ def verify_store(spark: SparkSession, target: str, root: bytes | None = None) ->
     def check(batches):
         for batch in batches:
             names, counts, crcs, good = batch.column("digest").to_pylist(), [], [], []
-            for name, body in zip(names, batch.column("body").to_pylist(), strict=True):
-                raw = load_ids(body).astype("<u4").tobytes()
+            for name, raw in zip(names, map(_raw, batch.column("body").to_pylist()), strict=True):
                 counts.append(len(raw) // 4)
                 crcs.append(zlib.crc32(raw))
                 good.append(hashlib.blake2b(raw, digest_size=DIGEST).digest() == name)
