@@ -190,6 +190,19 @@ def test_no_item_is_dropped(spark, sf):
     assert a.columns == ["window_id", "s"] and a.count() == 2
 
 
+def test_distinct_aggregates_are_made_apart_from_large_states(spark, sf):
+    engine = Engine(spark, tables(sf))
+    for keys in ("", "event_type", "event_type, user_id"):
+        head, tail = (f"{keys}, ", f" GROUP BY {keys}") if keys else ("", "")
+        both = "COUNT(DISTINCT event_id) + COUNT(*) AS n, PERCENTILE(v, 0.5) AS p, SUM(DISTINCT v), COUNT(DISTINCT user_id) AS u"
+        got = engine.execute(f"SELECT {head}{both} FROM events{tail}")[1]
+        spark.read.parquet(f"{sf}/events.parquet").selectExpr("*", "CAST(value AS BIGINT) AS v").createOrReplaceTempView("plain_events")
+        want = spark.sql(f"SELECT {head}COUNT(DISTINCT event_id) + COUNT(*) AS n, PERCENTILE(v, 0.5) AS p, SUM(DISTINCT v) AS sum_v, COUNT(DISTINCT user_id) AS u FROM plain_events{tail}")
+        assert got.columns == want.columns and rows(got.toPandas()) == rows(want.toPandas())
+        # the percentile's state is per group, not per distinct value
+        assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString().split("percentile")[0] and "Join" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_time_bounds_reach_the_files(spark, sf):
     plan = Engine(spark, tables(sf)).execute("SELECT event_id FROM events WHERE time >= 1704500000000000 AND v > 3 AND time < 1705500000000000")[1]._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan

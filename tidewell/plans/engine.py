@@ -26,6 +26,11 @@ _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Aggregates that windows can combine from panes: what is made per pane, and how it is put together.
 _PANES = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
 
+#: Aggregates whose state is a few numbers. Beside a DISTINCT one, Spark makes the state of every other aggregate once per distinct value.
+_SMALL = {"max", "min", "sum", "count", "avg", "mean", "first", "last", "any_value", "bool_and", "bool_or", "every", "some", "stddev", "stddev_pop", "stddev_samp", "var_pop", "var_samp", "variance"}
+_CALL = re.compile(r"'(?:[^']|'')*'|`[^`]*`|(\w+)\s*\(")
+_QUOTED = re.compile(r"'(?:[^']|'')*'|`[^`]*`|[()]")
+
 
 def _conjuncts(text: str) -> list[str]:
     """The parts of a predicate that all have to hold."""
@@ -222,6 +227,50 @@ class Engine:
                 return True
             raise
 
+    def _calls(self, text: str, schema: T.StructType) -> list[tuple[int, int]]:
+        """Where the aggregate calls of an expression begin and end."""
+        out, at = [], 0
+        while m := _CALL.search(text, at):
+            at = m.end()
+            if not m[1]:
+                continue
+            depth = 1
+            for x in _QUOTED.finditer(text, m.end()):
+                depth += {"(": 1, ")": -1}.get(x[0], 0)
+                if not depth:
+                    break
+            inner = [(m.end() + a, m.end() + b) for a, b in self._calls(text[m.end() : x.start()], schema)]
+            try:
+                own = not inner and self._is_aggregate(text[m.start() : x.end()], schema)
+            except AnalysisException:
+                own = False  # a keyword before a parenthesis, or the argument of a higher-order function
+            out += [(m.start(), x.end())] if own else inner
+            at = x.end()
+        return out
+
+    def _apart(self, df: DataFrame, keys: list[str], made: list[tuple[str, str]]) -> DataFrame | None:
+        """The aggregates of (name, text), with the DISTINCT ones in a table of their own that meets the others by key. None where one table does as well."""
+        text = " ".join(t for _, t in made)
+        if not re.search(r"\(\s*DISTINCT\b", text, re.I) or re.search(r"\)\s*(FILTER|OVER|WITHIN)\b", text, re.I):
+            return None
+        sides: dict[bool, list[tuple[str, str]]] = {False: [], True: []}
+        out = []
+        for name, text in made:
+            for a, b in reversed(self._calls(text, df.schema)):
+                side = sides[bool(re.match(r"\w+\s*\(\s*DISTINCT\b", text[a:b], re.I))]
+                side.append((f"__{len(sides[False]) + len(sides[True])}", text[a:b]))
+                text = f"{text[:a]}`{side[-1][0]}`{text[b:]}"
+            out.append((name, text))
+        if not sides[True] or all(re.match(r"\w+", t)[0].lower() in _SMALL for _, t in sides[False]):
+            return None
+        plain, apart = (df.groupBy(*keys).agg(*(F.expr(t).alias(n) for n, t in sides[k])) for k in (False, True))
+        apart = apart.select(*(F.col(k).alias(f"__key{j}") for j, k in enumerate(keys)), *(n for n, _ in sides[True]))
+        test = F.lit(True)
+        for j, k in enumerate(keys):
+            test = test & F.col(k).eqNullSafe(F.col(f"__key{j}"))
+        both = plain.join(apart, test) if keys else plain.crossJoin(apart)
+        return both.select(*keys, *(F.expr(t).alias(n) for n, t in out))
+
     def _column(self, item: Item, df: DataFrame, spec: QuerySpec) -> list[Column]:
         star = re.fullmatch(r"(?:(\w+)\.)?\*", item.text)
         if star and star[1] and star[1] not in (spec.name, spec.source, spec.join.name if spec.join else None):
@@ -245,15 +294,18 @@ class Engine:
         return df.distinct() if spec.distinct else df
 
     def _grouped(self, spec: QuerySpec, df: DataFrame, own: list[str], general: list[bool]) -> DataFrame:
-        cols, keys = [], own + [c for c in spec.group_by if c not in own]
+        cols, keys, made = [], own + [c for c in spec.group_by if c not in own], []
         for i, holds in zip(spec.items, general, strict=True):
             if i.agg:
                 c = aggregates.aggregate(i.agg, i.text, i.distinct)
                 cols.append(c.alias(i.alias) if i.alias else c)
+                plain = f"{i.agg}({'DISTINCT ' * i.distinct}{i.text})" if i.agg in _PANES else f"CAST(sum({'DISTINCT ' * i.distinct}{i.text}) AS BIGINT) div count({'DISTINCT ' * i.distinct}{i.text})" if i.agg == "avg" else None
+                made.append((i.alias or ("count_" if i.text == "*" else f"{i.agg}_{i.text}"), plain))
             elif holds or i.text not in spec.group_by:
                 if not holds and not spec.sets:
                     raise DialectError(f"{i.text!r} is neither an aggregate nor in GROUP BY")
                 cols.append(F.expr(i.text).alias(i.alias or i.text))
+                made.append((i.alias or i.text, i.text))
         having, hidden = None, "__having"
         if spec.having:
             try:
@@ -262,10 +314,13 @@ class Engine:
                 having = F.expr(spec.having)  # it names the results
             if having is None:
                 cols, having = [*cols, F.expr(spec.having).alias(hidden)], F.col(hidden)
+                made.append((hidden, spec.having))
         if spec.sets:
             if not cols:
                 raise DialectError("GROUPING SETS, CUBE and ROLLUP need aggregates")
             out = df.groupingSets([[F.col(c) for c in own + s] for s in spec.sets], *keys).agg(*cols)
+        elif made and all(t for _, t in made) and (out := self._apart(df, keys, made)) is not None:
+            pass
         elif keys:
             out = aggregates.group(df, spec.group_by, *cols)
         else:
