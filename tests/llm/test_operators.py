@@ -413,3 +413,12 @@ def test_registry_names():
 
     q = registry.queries()
     assert {re.match(r"op(\d+)_", n)[1] for n in q if n != "pipeline"} == {str(i) for i in range(1, 11)} and json.dumps(sorted(q))
+
+
+def test_finished_tables_relieve_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "RELIEF_S", 0)
+    monkeypatch.setattr(runtime, "_relieved", 0.0)
+    assert runtime.cut(spark.range(3)).count() == 3 and runtime._relieved > 0
+    at = runtime._relieved
+    monkeypatch.setattr(runtime, "RELIEF_S", 3600)
+    assert runtime.cut(spark.range(3)).count() == 3 and runtime._relieved == at

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -13,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 #: Pairs (16 bytes each) up to which a single task finds the components; beyond it the work is spread.
 ONE_TASK_PAIRS = 2_000_000
 
@@ -22,6 +26,10 @@ SHARES, LEAST_PART = 1000, 1000
 #: Bytes of an Arrow batch that a Python worker is sent, where the session leaves Spark's own 64 MB: each is held several times over, outside the heap.
 BATCH_BYTES, SPARKS_OWN = "4m", ("67108864b", "67108864", "64m", "64MB")
 
+#: Seconds from one relief of the driver's memory to the next.
+RELIEF_S = 5
+
+_relieved = 0.0
 _shipped: set[str] = set()
 _own_base: dict[str, str] = {}
 
@@ -63,6 +71,7 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors. It goes with the application, or by drop()."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    relieve(df.sparkSession)
     p, fs = _file(df.sparkSession, path)
     fs.deleteOnExit(p)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -70,6 +79,30 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def relieve(spark: SparkSession) -> None:
+    """Let the driver give back what the plans and tasks of finished tables took: its heap shrinks after a full collection, then both processes return free native memory. At most every RELIEF_S seconds."""
+    global _relieved
+    if time.monotonic() - _relieved < RELIEF_S:
+        return
+    gc.collect()
+    K.trim()
+    jvm = spark._jvm
+    jvm.java.lang.System.gc()
+    beans, name = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    # by the public interface: the server's own class can't be called from outside its module
+    methods = {m.getName(): m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()}
+
+    def call(method: str, *values):
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, len(values))
+        for i, x in enumerate(values):
+            args[i] = x
+        return methods[method].invoke(beans, args)
+
+    if call("isRegistered", name) and "systemTrimNativeHeap" in {x.getName() for x in call("getMBeanInfo", name).getOperations()}:
+        call("invoke", name, "systemTrimNativeHeap", None, None)
+    _relieved = time.monotonic()
+
+
 def _file(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
